@@ -18,11 +18,11 @@ _MCC = """CASE lower(trim({c}))
 
 define("parsed", f"""
     SELECT *, CASE
-             WHEN signed IS NULL THEN 'Cannot parse amount: ' || amount_raw
+             WHEN signed IS NULL THEN 'Cannot parse amount: ' || trim(amount_raw)
              WHEN transaction_date IS NULL AND trim(date_raw) <> ''
-               THEN 'Cannot parse date: ' || date_raw
+               THEN 'Cannot parse date: ' || trim(date_raw)
              WHEN posted_date IS NULL AND trim(posted_raw) <> ''
-               THEN 'Cannot parse date: ' || posted_raw END AS error,
+               THEN 'Cannot parse date: ' || trim(posted_raw) END AS error,
            CASE WHEN regexp_matches(lower(merchant_name || ' ' || mcc_description), '{_PAYMENT}')
                   THEN 'transfer'
                 WHEN regexp_matches(lower(merchant_name || ' ' || mcc_description),

@@ -1,6 +1,6 @@
 """Date parsing and month arithmetic.
 
-Dates are recognised by shape and rebuilt as ISO text, so bad input is null and no formatter is
+Dates are recognised by shape and rewritten as ISO text, so bad input is null and no formatter is
 tried (and no exception thrown) per row and format.
 """
 
@@ -11,6 +11,8 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallybook.functions.text import bound, trimmed
+
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august",
            "september", "october", "november", "december")
 
@@ -23,58 +25,69 @@ def _month_number(name: Column, abbreviated_only: bool = False) -> Column:
     return F.try_element_at(table, F.lower(name))
 
 
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    text = F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"),
-                       F.lpad(day.cast("string"), 2, "0"))
-    known = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(known, text.try_cast("date"))
+def _rewritten(text: Column, pattern: str, iso: str) -> Column:
+    return F.regexp_replace(text, pattern, iso).try_cast("date")
 
 
-def _shape(raw: Column, pattern: str, order: str, year: Column | None = None,
+def _named(text: Column, pattern: str, order: str, year: Column | None = None,
            abbreviated_only: bool = False) -> Column:
-    """Date of the groups of `pattern`; `order` names them: y, m, d or b (month name)."""
-    groups = {key: F.regexp_extract(raw, pattern, i) for i, key in enumerate(order, 1)}
-    month = (_month_number(groups["b"], abbreviated_only) if "b" in groups else groups["m"])
-    return F.when(raw.rlike(pattern), _iso(groups.get("y", year), month, groups["d"]))
-
-
-_DAY_MONTH_YEAR = [
-    (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "dmy"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "ymd"),
-    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "mdy"),
-    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "dmy"),
-]
-_COMMA_NAME = (r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$", "bdy")
-_OPTIONAL_COMMA_NAME = (r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$", "bdy")
-_DAY_NAME = (r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", "dby")
-_COMPACT = (r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$", "ymd")
+    """Date of a pattern with a month name; `order` names its groups: b, d and maybe y."""
+    group = {key: F.regexp_extract(text, pattern, i) for i, key in enumerate(order, 1)}
+    month = _month_number(group["b"], abbreviated_only).cast("string")
+    iso = F.concat(group.get("y", year), F.lit("-"), month, F.lit("-"), group["d"])
+    return iso.try_cast("date")
+
+
+# Shapes of dates; Spark's own cast reads 'y-m-d' with or without leading zeros.
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
+_YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
+_COMPACT = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
+_NAME_DAY_COMMA_YEAR = r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$"
+_NAME_DAY_YEAR = r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
+_DAY_NAME_YEAR = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
+_NAME_DAY = r"^([A-Za-z]{3})\s*(\d{1,2})$"
+_DAY_NAME = r"^(\d{1,2})(?:\s+|-)([A-Za-z]{3})$"
+_MONTH_SLASH_DAY = r"^(\d{1,2})/(\d{1,2})$"
+_PACKED = r"^([A-Za-z]{3})(\d{1,2})(\d{4})$"
+
+
+def _with_full_year(text: Column) -> Column:
+    """Numeric shapes with a separator; month before day where both fit."""
+    return (F.when(text.rlike(_YEAR_FIRST), F.translate(text, "/", "-").try_cast("date"))
+            .when(text.rlike(_YEAR_LAST), F.coalesce(
+                _rewritten(text, _YEAR_LAST, "$4-$1-$3"),
+                _rewritten(text, _YEAR_LAST, "$4-$3-$1"))))
+
+
+def read_date(text: Column) -> Column:
+    """Date of a trimmed CSV cell in any of the eleven accepted shapes; null if none fits."""
+    return (_with_full_year(text)
+            .when(text.rlike(_COMPACT), _rewritten(text, _COMPACT, "$1-$2-$3"))
+            .when(text.rlike(_NAME_DAY_COMMA_YEAR), _named(text, _NAME_DAY_COMMA_YEAR, "bdy"))
+            .when(text.rlike(_DAY_NAME_YEAR), _named(text, _DAY_NAME_YEAR, "dby")))
+
+
+def read_statement_date(text: Column, year: Column) -> Column:
+    """Date of a trimmed statement cell; shapes without a year take `year`."""
+    given = year.cast("string")
+    return (_with_full_year(text)
+            .when(text.rlike(_NAME_DAY_YEAR), _named(text, _NAME_DAY_YEAR, "bdy"))
+            .when(text.rlike(_DAY_NAME_YEAR), _named(text, _DAY_NAME_YEAR, "dby"))
+            .when(text.rlike(_MONTH_SLASH_DAY), F.concat(
+                given, F.lit("-"), F.translate(text, "/", "-")).try_cast("date"))
+            .when(text.rlike(_NAME_DAY), _named(text, _NAME_DAY, "bd", given, True))
+            .when(text.rlike(_DAY_NAME), _named(text, _DAY_NAME, "db", given, True))
+            .when(text.rlike(_PACKED), _named(text, _PACKED, "bdy", None, True)))
 
 
 def parse_date(raw: Column) -> Column:
-    """Date of a CSV cell in any of the eleven accepted shapes, month-first; null if none fits."""
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    shapes = [*_DAY_MONTH_YEAR, _COMMA_NAME, _DAY_NAME, _COMPACT]
-    return F.coalesce(*[_shape(text, p, o) for p, o in shapes])
+    return bound(trimmed(raw), read_date)
 
 
 def parse_statement_date(raw: Column, year: Column) -> Column:
-    """Date of a statement cell (first line only); shapes without a year take `year`."""
-    first_line = F.substring_index(F.regexp_replace(raw, r"^\s+|\s+$", ""), "\n", 1)
-    text = F.regexp_replace(first_line, r"^\s+|\s+$", "")
-    dated = [_shape(text, p, o) for p, o in
-             [*_DAY_MONTH_YEAR, _OPTIONAL_COMMA_NAME, _DAY_NAME]]
-    yearless = [
-        (r"^([A-Za-z]{3})\s+(\d{1,2})$", "bd"),
-        (r"^(\d{1,2})/(\d{1,2})$", "md"),
-        (r"^(\d{1,2})\s+([A-Za-z]{3})$", "db"),
-        (r"^(\d{1,2})-([A-Za-z]{3})$", "db"),
-        (r"^([A-Za-z]{3})(\d{1,2})$", "bd"),
-    ]
-    short = [_shape(text, p, o, year=year, abbreviated_only=True) for p, o in yearless]
-    packed = _shape(text, r"^([A-Za-z]{3})(\d{1,2})(\d{4})$", "bdy", abbreviated_only=True)
-    return F.coalesce(*dated, *short, packed)
+    """As read_statement_date, of the first line of an untrimmed cell."""
+    first_line = F.substring_index(trimmed(raw), "\n", 1)
+    return bound(trimmed(first_line), lambda text: read_statement_date(text, year))
 
 
 def month_text(day: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallybook.functions.text import WHITE_SPACE, bound, trimmed
+
 
 def to_cents(amount: Column) -> Column:
     """Whole cents of a double amount."""
@@ -63,26 +65,34 @@ def _parenthesised_negative(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _cleaned(text: Column) -> Column:
+    return F.translate(_parenthesised_negative(text), ",$" + WHITE_SPACE, "")
+
+
+def read_amount(text: Column) -> Column:
+    """Amount of a trimmed CSV cell: blank is 0, '(x)' is -x, ',', '$' and spaces are dropped,
+    bad text is null."""
+    return F.when(text == "", F.lit(0.0)).otherwise(bound(_cleaned(text), _number))
+
+
 def parse_amount(raw: Column) -> Column:
-    """CSV amount: blank is 0, '(x)' is -x, ',', '$' and spaces are dropped, bad text is null."""
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    cleaned = F.regexp_replace(_parenthesised_negative(text), r"[,$\s]", "")
-    return F.when(text == "", F.lit(0.0)).otherwise(_number(cleaned))
+    return bound(trimmed(raw), read_amount)
 
 
 def parse_statement_amount(raw: Column) -> Column:
-    """Statement amount: as parse_amount, but blank is null and '$(x)' is -x too."""
-    text = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"[,$ ]", "")
-    return _number(_parenthesised_negative(text))
+    """Statement amount: as read_amount, but blank is null and '$(x)' is -x too."""
+    return bound(F.translate(trimmed(raw), ",$ ", ""),
+                 lambda text: _number(_parenthesised_negative(text)))
 
 
 def split_amount(debit_raw: Column, credit_raw: Column) -> Column:
     """Signed amount of separate debit/credit columns: debit unless zero, else minus credit."""
-    debit = parse_amount(F.coalesce(debit_raw, F.lit("")))
-    credit = parse_amount(F.coalesce(credit_raw, F.lit("")))
+    sides = F.struct(parse_amount(F.coalesce(debit_raw, F.lit(""))).alias("debit"),
+                     parse_amount(F.coalesce(credit_raw, F.lit(""))).alias("credit"))
     # both cells must be readable, as a bad cell rejects the row
-    return F.when(debit.isNotNull() & credit.isNotNull(),
-                  F.when(debit != 0, debit).otherwise(-credit))
+    return bound(sides, lambda s: F.when(
+        s["debit"].isNotNull() & s["credit"].isNotNull(),
+        F.when(s["debit"] != 0, s["debit"]).otherwise(-s["credit"])))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 
 SPACES = r"(?U)\s+"
 
+# The characters counted as white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, " ")
@@ -18,7 +22,21 @@ def squeeze(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Strip all leading and trailing white space (not only blanks)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with `value` computed once however often `use` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns so that later filters on them do not copy their expressions.
+
+    A filter on a plain projected column is pushed below the projection, which repeats long
+    parsing expressions; a generated row of one struct keeps them in one place.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -43,28 +61,29 @@ def normalize_match_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
+_ASCII = r"^\p{ASCII}*$"
+
+
 def _unicode_fold(text: Column) -> Column:
-    """Compatibility normal form and case fold, which Spark has no built-in for."""
+    """Compatibility normal form and case fold, which Spark has no built-in for; null stays."""
     # nested, so that it is pickled by value and executors need no copy of this package
     def fold(texts: pd.Series) -> pd.Series:
         import unicodedata
 
-        return texts.map(
-            lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+        folded = texts.astype(object)
+        present = folded.notna()
+        folded[present] = [unicodedata.normalize("NFKC", t).casefold() for t in folded[present]]
+        return folded
 
     return F.pandas_udf(fold, returnType=T.StringType())(text)
 
 
-_ASCII = r"^\p{ASCII}*$"
-
-
 def with_match_text(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the normalised text of `source`; only non-ASCII rows pay for the Arrow round trip."""
-    is_ascii = F.coalesce(F.col(source), F.lit("")).rlike(_ASCII)
-    plain = df.filter(is_ascii).withColumn(target, normalize_match_text(F.col(source)))
-    folded = df.filter(~is_ascii).withColumn(
-        target, normalize_match_text(_unicode_fold(F.col(source))))
-    return plain.unionByName(folded)
+    """Add the normalised text of `source`. Meant for distinct texts: only non-ASCII ones carry
+    a value through the Arrow round trip, all others stay in the JVM."""
+    needs_fold = ~F.coalesce(F.col(source), F.lit("")).rlike(_ASCII)
+    folded = _unicode_fold(F.when(needs_fold, F.col(source)))
+    return df.withColumn(target, normalize_match_text(F.coalesce(folded, F.col(source))))
 
 
 def keyword_list(csv: Column) -> Column:

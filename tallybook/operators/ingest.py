@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.dates import parse_date
+from tallybook.functions.dates import read_date
 from tallybook.functions.joins import null_safe_join
-from tallybook.functions.money import parse_amount, split_amount, to_cents
-from tallybook.functions.text import contains_any, trimmed
+from tallybook.functions.money import read_amount, split_amount, to_cents
+from tallybook.functions.text import computed_once, contains_any, trimmed
 from tallybook.operators.keywords import analyze_merchants
 from tallybook.schemas import (
     CASHBACK_PHRASES, CREDIT_TITLES, CSV_TITLES, DEBIT_TITLES, MCC_CATEGORY, PAYMENT_PHRASES,
@@ -134,39 +134,36 @@ def parse_cells(raw: DataFrame, default_currency: str = "CAD") -> DataFrame:
 
     Empty dates are null without error. A row keeps its first error: amount, date, posted date.
     """
-    def cell(name: str) -> Column:
-        return trimmed(F.coalesce(C(name), L("")))
-
-    if "debit_raw" in raw.columns:
-        is_split = F.coalesce("is_split", L(False)) if "is_split" in raw.columns else L(True)
-        signed = F.when(is_split, split_amount(C("debit_raw"), C("credit_raw")))
-        if "amount_raw" in raw.columns:
-            signed = signed.otherwise(parse_amount(C("amount_raw")))
-        shown = F.concat_ws(" / ", "debit_raw", "credit_raw")
-    else:
-        signed, shown = parse_amount(C("amount_raw")), C("amount_raw")
-    typed = raw.select(
-        "*", signed.alias("signed"), parse_date(C("date_raw")).alias("transaction_date"),
-        parse_date(C("posted_raw")).alias("posted_date"),
-        cell("merchant_raw").alias("merchant_name"), cell("mcc_raw").alias("mcc_description"))
+    cells = [c for c in _CELLS.values() if c in raw.columns]
+    keys = [c for c in ("row_idx", "user_id", "source_file", "is_split") if c in raw.columns]
+    text = raw.select(*keys, *[trimmed(F.coalesce(C(c), L(""))).alias(c) for c in cells])
+    signed, shown = read_amount(C("amount_raw")), C("amount_raw")
+    if "debit_raw" in cells:
+        is_split = C("is_split") if "is_split" in keys else L(True)
+        signed = F.when(is_split, split_amount(C("debit_raw"), C("credit_raw"))).otherwise(signed)
+        shown = F.when(is_split, F.concat_ws(" / ", "debit_raw", "credit_raw")).otherwise(shown)
+    typed = computed_once(text, signed.alias("signed"),
+                          read_date(C("date_raw")).alias("transaction_date"),
+                          read_date(C("posted_raw")).alias("posted_date"))
     error = (F.when(C("signed").isNull(), F.concat(L("Cannot parse amount: "), shown))
-             .when(C("transaction_date").isNull() & (cell("date_raw") != ""),
+             .when(C("transaction_date").isNull() & (C("date_raw") != ""),
                    F.concat(L("Cannot parse date: "), C("date_raw")))
-             .when(C("posted_date").isNull() & (cell("posted_raw") != ""),
+             .when(C("posted_date").isNull() & (C("posted_raw") != ""),
                    F.concat(L("Cannot parse date: "), C("posted_raw"))))
-    verdict = classify(C("signed"), C("merchant_name"), C("mcc_description"))
-    return (typed.withColumn("error", error).withColumn("verdict", verdict)
+    verdict = classify(C("signed"), C("merchant_raw"), C("mcc_raw"))
+    return (computed_once(typed, error.alias("error"), verdict.alias("verdict"))
             .select("row_idx", "user_id", "source_file", "transaction_date", "posted_date",
-                    cell("ref_raw").alias("reference_number"), "merchant_name",
-                    cell("city_raw").alias("merchant_city"),
-                    cell("state_raw").alias("merchant_state"),
-                    cell("country_raw").alias("merchant_country"), "mcc_description",
+                    C("ref_raw").alias("reference_number"),
+                    C("merchant_raw").alias("merchant_name"),
+                    C("city_raw").alias("merchant_city"), C("state_raw").alias("merchant_state"),
+                    C("country_raw").alias("merchant_country"),
+                    C("mcc_raw").alias("mcc_description"),
                     C("verdict.amount").alias("amount"),
                     to_cents(C("verdict.amount")).alias("amount_cents"),
                     L(default_currency).alias("currency"),
                     C("verdict.type").alias("transaction_type"),
-                    cell("card_raw").alias("card_number_masked"),
-                    cell("holder_raw").alias("cardholder"),
+                    C("card_raw").alias("card_number_masked"),
+                    C("holder_raw").alias("cardholder"),
                     (C("verdict.type") == "transfer").alias("is_payment"),
                     (C("verdict.type") == "refund").alias("is_refund"), "error"))
 

@@ -40,16 +40,19 @@ def _grams(text: Column) -> Column:
 
 
 def substring_pairs(texts: DataFrame, text: str, needles: DataFrame, needle: str,
-                    keys: list[str]) -> DataFrame:
+                    keys: list[str], how: str = "inner") -> DataFrame:
     """Pairs where `needle` occurs in `text`, within equal keys.
 
+    how='left' also keeps a row with null needle for every text gram that matches nothing.
+
     An equality join on the needle's first characters finds the candidates, so neither side is
     paired with everything; with few needles the join runs map-side on the exploded texts, with
     many it shuffles on (keys, head), which also spreads a hot user.
     """
-    exploded = texts.withColumn("_head", F.explode(_grams(C(text))))
+    explode = F.explode if how == "inner" else F.explode_outer
+    exploded = texts.withColumn("_head", explode(_grams(C(text))))
     headed = needles.withColumn("_head", F.substring(C(needle), 1, _GRAM))
-    return null_safe_join(exploded, headed, [*keys, "_head"], "inner",
+    return null_safe_join(exploded, headed, [*keys, "_head"], how,
                           F.contains(C(text), C(needle))).drop("_head")
 
 
@@ -70,22 +73,27 @@ def analyze_merchants(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
     The longest keyword wins, ties go to the alphabetically first category.
     """
-    rank = F.struct((-C("length")).alias("rank"), "category_name", "keyword", "category_id")
-    found = (match_keywords(rows, rules).groupBy("user_id", "normalized_merchant").agg(
-        F.min_by("category_name", F.struct(-C("length"), C("category_name")))
-        .alias("suggested_category"),
-        (F.count_distinct("category_name") > 1).alias("resolution_needed"),
-        F.sort_array(F.collect_set(rank)).alias("matches")))
-    merchants = distinct_merchants(rows)
-    joined = null_safe_join(merchants, found, ["user_id", "normalized_merchant"])
-    return joined.withColumn(
-        "resolution_needed", F.coalesce("resolution_needed", L(False))).withColumn(
-        "keyword_matches", F.transform(
-            F.coalesce("matches", F.array()),
-            lambda m: F.struct(m["category_id"].alias("category_id"),
-                               m["category_name"].alias("category_name"),
-                               m["keyword"].alias("keyword"),
-                               (-m["rank"]).alias("length")))).drop("matches")
+    match = F.struct((-C("length")).alias("rank"), "category_name", "keyword", "category_id")
+    found = C("keyword").isNotNull()
+    # one pass: partial aggregation folds a merchant's grams in the task that made them, and the
+    # merchants stay partitioned as their distinct left them
+    return (substring_pairs(distinct_merchants(rows), "normalized_merchant", rules, "keyword",
+                            ["user_id"], "left")
+            .groupBy("user_id", "merchant_name", "normalized_merchant").agg(
+                F.min_by("category_name",
+                         F.when(found, F.struct(-C("length"), C("category_name"))))
+                .alias("suggested_category"),
+                F.min("category_name").alias("first_name"),
+                F.max("category_name").alias("last_name"),
+                F.sort_array(F.collect_set(F.when(found, match))).alias("matches"))
+            .withColumn("resolution_needed",
+                        F.coalesce(C("first_name") != C("last_name"), L(False)))
+            .withColumn("keyword_matches", F.transform(
+                "matches", lambda m: F.struct(m["category_id"].alias("category_id"),
+                                              m["category_name"].alias("category_name"),
+                                              m["keyword"].alias("keyword"),
+                                              (-m["rank"]).alias("length"))))
+            .drop("first_name", "last_name", "matches"))
 
 
 def attach_analysis(rows: DataFrame, rules: DataFrame) -> DataFrame:

@@ -14,8 +14,16 @@ from tallybook.functions.money import cents_text, to_cents
 C, L = F.col, F.lit
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _OPENED or _OPENED[key].sparkSession is not spark:
+        _OPENED[key] = spark.read.parquet(path)
+    return _OPENED[key]
 
 
 def _user() -> Column:
