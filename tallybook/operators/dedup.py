@@ -16,6 +16,7 @@ from tallybook.functions.text import (
     blank_to_null, collapsed_lower, computed_once, contains_any, digits_only, trimmed,
 )
 from tallybook.schemas import INTEREST_PHRASES, TRANSACTION_TYPES
+from tallybook.session import cut_lineage
 
 C, L = F.col, F.lit
 
@@ -42,7 +43,7 @@ def last_four(card: Column) -> Column:
     return F.when(F.length(digits) >= 4, F.right(digits, L(4)))
 
 
-def with_dedup_keys(rows: DataFrame) -> DataFrame:
+def with_dedup_keys(rows: DataFrame, *carried: Column) -> DataFrame:
     """Narrow key table of upload rows: everything duplicates are judged by."""
     merchant = collapsed_lower(C("merchant_name"))
     currency = F.coalesce("currency", L(DEFAULT_CURRENCY))
@@ -59,7 +60,8 @@ def with_dedup_keys(rows: DataFrame) -> DataFrame:
         "row_idx", "user_id", "ref", "own_card",
         F.coalesce("transaction_date", "posted_date").alias("statement_date"), "merchant_key",
         "place_key", "kind_key", "stored_kind", to_ten_thousandths(amount).alias("amount_e4"),
-        to_cents(amount).alias("cents"), is_interest(C("merchant_key")).alias("interest_like"))
+        to_cents(amount).alias("cents"), is_interest(C("merchant_key")).alias("interest_like"),
+        *carried)
 
 
 def default_cards(keyed: DataFrame) -> DataFrame:
@@ -92,29 +94,31 @@ def card_accounts(cards: DataFrame, accounts: DataFrame) -> DataFrame:
         "user_id", "card", "last4", F.coalesce("mask_id", "four_id").alias("account_id"))
 
 
-def resolve_accounts(keyed: DataFrame, accounts: DataFrame,
-                     holders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keyed rows with account_id, accounts to create); holders(row_idx, cardholder).
+def resolve_accounts(keyed: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keyed rows with account_id, accounts to create); keyed carries cardholder.
 
     Unknown cards with equal last four digits share the account of the first of them. A new
     account gets max(id) + 1 + the first row_idx that needs it.
     """
     found = card_accounts(keyed, accounts)
-    firsts = keyed.groupBy("user_id", "card").agg(F.min("row_idx").alias("first_row"))
+    firsts = keyed.groupBy("user_id", "card").agg(
+        F.min("row_idx").alias("first_row"),
+        F.min_by("cardholder", "row_idx").alias("cardholder"))
     group = F.coalesce("last4", "card")
+    found = cut_lineage(found)
     unknown = null_safe_join(found.filter(C("account_id").isNull()), firsts,
                              ["user_id", "card"]).withColumn("card_group", group)
     next_id = accounts.agg(F.coalesce(F.max("id"), L(0)) + 1).scalar()
     grouped = unknown.groupBy("user_id", "card_group").agg(
-        F.min("first_row").alias("first_row"), F.min_by("card", "first_row").alias("card"))
+        F.min_by("card", "first_row").alias("card"),
+        F.min_by("cardholder", "first_row").alias("cardholder"),
+        F.min("first_row").alias("first_row"))
     new_ids = grouped.select("user_id", "card_group", (next_id + C("first_row")).alias("new_id"))
     mapping = null_safe_join(found.withColumn("card_group", group), new_ids,
                              ["user_id", "card_group"]).select(
         "user_id", "card", F.coalesce("account_id", "new_id").alias("account_id"))
-    named = grouped.join(holders.select(C("row_idx").alias("first_row"), "cardholder"),
-                         "first_row", "left")
     holder = F.nullif(F.coalesce("cardholder", L("")), L(""))
-    new = named.select(
+    new = grouped.select(
         (next_id + C("first_row")).alias("id"), "user_id",
         F.coalesce(F.concat(holder, L(" ("), C("card"), L(")")), C("card")).alias("name"),
         C("card").alias("card_number_masked"), L(None).cast("string").alias("institution"))
@@ -230,7 +234,7 @@ def ledger_duplicates(keyed: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def keyed_upload(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """Key table with the effective card and, where it is known, its account."""
-    keyed = with_card(with_dedup_keys(rows))
+    keyed = cut_lineage(with_card(cut_lineage(with_dedup_keys(rows))))
     known = card_accounts(keyed.filter(C("card") != ""), accounts).select(
         "user_id", "card", "account_id")
     return null_safe_join(keyed, known, ["user_id", "card"])
@@ -241,8 +245,8 @@ def check_duplicates(rows: DataFrame, ledger: DataFrame, accounts: DataFrame) ->
 
     All rows take part, excluded ones too; a repeat within the upload is not looked up again.
     """
-    keyed = keyed_upload(rows, accounts)
-    repeats = batch_duplicates(keyed, C("card"))
+    keyed = cut_lineage(keyed_upload(rows, accounts))
+    repeats = cut_lineage(batch_duplicates(keyed, C("card")))
     firsts = keyed.join(repeats, "row_idx", "left_anti")
     stored = ledger_duplicates(firsts, ledger)
     flags = (repeats.select("row_idx", L(True).alias("in_import"))

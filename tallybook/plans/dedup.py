@@ -8,6 +8,7 @@ from tallybook.operators import commit as commit_op
 from tallybook.operators import dedup as op
 from tallybook.operators import ingest
 from tallybook.plans.uploads import good_rows, suggested_rows
+from tallybook.session import cut_lineage
 from tallybook.sources import derived
 
 C, L = F.col, F.lit
@@ -24,7 +25,7 @@ def _keyed(s, d):
 
 
 def _periods(s, d):
-    detected = ingest.detect_period(good_rows(s, d))
+    detected = cut_lineage(ingest.detect_period(good_rows(s, d)))
     chosen = detected.filter(C("month") % 2 == 0).select(
         "user_id", "source_file", (C("month") + 2).alias("month"), "year")
     return detected, chosen
@@ -32,7 +33,7 @@ def _periods(s, d):
 
 def _upload(s, d):
     """Suggested rows with some exclusions, chosen names and a period per file."""
-    rows = suggested_rows(s, d).drop("keyword_matches").withColumns({
+    rows = cut_lineage(suggested_rows(s, d).drop("keyword_matches")).withColumns({
         "exclude": C("row_idx") % 30 == 0,
         "category_name": F.when(C("row_idx") % 11 == 0, L(" Transfer "))
         .when(C("row_idx") % 13 == 0, F.concat(L("Trip "), F.year("transaction_date"))),

@@ -6,14 +6,19 @@ orders, lineitem, part and customer by fixed rules; every table grows with its f
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import cents_text, to_cents
+from tallybook.session import shared_folder
 
 C, L = F.col, F.lit
 
 
+_WRITTEN: dict[tuple[str, str, str], tuple] = {}
 _OPENED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -26,6 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _OPENED[key]
 
 
+def stored(build):
+    """Keep a derived table as parquet in the shared folder, written once per session and input
+    folder, so that queries read a stored table as they would in production."""
+    @functools.wraps(build)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _WRITTEN:
+            path = f"{shared_folder(spark)}/derived-{uuid.uuid4().hex}/{build.__name__}"
+            frame = build(spark, sf_dir)
+            frame.write.parquet(path)
+            _WRITTEN[key] = (path, frame.schema)
+        path, schema = _WRITTEN[key]
+        return spark.read.schema(schema).parquet(path)
+
+    return read
+
+
 def _user() -> Column:
     """Tenant of a customer row joined with its nation; nation 0 is the local tenant (null)."""
     return F.when(C("c_nationkey") != 0, C("n_name"))
@@ -40,6 +62,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(L("*" * 12), F.right(C("c_name"), L(4)))))
 
 
+@stored
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select(
         (C("c_custkey") + 1).alias("id"), "user_id", C("c_name").alias("name"),
@@ -56,6 +79,7 @@ _CATEGORIES = (
 )
 
 
+@stored
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six categories per tenant; tenant NATION_10 has none yet."""
     entries = F.array(*[
@@ -70,6 +94,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "e.name", "e.color", "e.keywords"))
 
 
+@stored
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.when(C("n_nationkey") != 0, C("n_name")).alias("user_id"))
@@ -80,6 +105,7 @@ def _category_id(part_type: Column) -> Column:
     return (C("c_nationkey") * 10 + F.try_element_at(code, part_type)).cast("long")
 
 
+@stored
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per order."""
     orders = table(spark, sf_dir, "orders")
@@ -121,6 +147,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         ))
 
 
+@stored
 def dirty_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger with exact copies: every 20th order twice, every 100th three times."""
     base = ledger(spark, sf_dir)
@@ -133,6 +160,7 @@ def dirty_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy_no")
 
 
+@stored
 def budget_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A total and three category limits per tenant; one category does not exist."""
     nk = C("n_nationkey")
@@ -151,6 +179,7 @@ def budget_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     C("e.cents").alias("limit_cents"), (C("e.code") == 0).alias("is_total")))
 
 
+@stored
 def hidden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     nk = C("n_nationkey")
     keys = F.array(
@@ -163,6 +192,7 @@ def hidden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.explode(F.array_compact(keys)).alias("category_key")))
 
 
+@stored
 def recurring_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule per customer; a third never ends, half have been run before."""
     k = C("c_custkey")
@@ -183,6 +213,7 @@ def recurring_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 1, F.date_add(start, 90)).alias("last_created_date"))
 
 
+@stored
 def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows earlier made from the rules: weekly steps of which some were edited."""
     step = C("step")
@@ -206,6 +237,7 @@ def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 C("start_date").cast("timestamp").alias("created_at")))
 
 
+@stored
 def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A proposed edit for two of three rules: a later start, another frequency or a new price."""
     k = C("id") - 1
@@ -239,6 +271,7 @@ def upload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("ship_day", C("l_shipdate").cast("date")))
 
 
+@stored
 def raw_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload rows as raw text cells: line items, repeats of them, and restated ledger rows."""
     p, s, day = C("l_partkey"), C("l_suppkey"), C("ship_day")
@@ -307,6 +340,7 @@ def raw_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.unionByName(restated)
 
 
+@stored
 def ofx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OFX text per order, one STMTTRN block per line item."""
     p = C("l_partkey")
