@@ -124,7 +124,8 @@ define("detected", """
         AND place = 1""", "good")
 define("periods", """
     SELECT user_id, source_file,
-           CASE WHEN month % 2 = 0 AND month + 2 <= 12 THEN month + 2 ELSE month END AS month, year
+           CASE WHEN month % 2 = 0 AND month + 2 <= 12 AND year BETWEEN 2000 AND 2100
+                THEN month + 2 ELSE month END AS month, year
     FROM detected""", "detected")
 define("upload", """
     SELECT s.* EXCLUDE (matches, by_mcc), row_idx % 30 = 0 AS exclude,

@@ -33,15 +33,13 @@ def category_pie(ledger: DataFrame, categories: DataFrame, transaction_type: str
                     "color", "amount_cents"))
 
 
-_LARGEST_FIRST = (C("amount_cents").desc(), C("category"))
-
-
 def with_palette(pie: DataFrame) -> DataFrame:
     """Slices in rank order with a palette colour where the category has none.
 
     The window sees one row per category of a user, never transactions.
     """
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*_LARGEST_FIRST))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(
+        C("amount_cents").desc(), "category"))
     palette = F.array(*[L(c) for c in SLICE_COLORS])
     return (pie.withColumn("rank", rank)
             .withColumn("color", F.coalesce(

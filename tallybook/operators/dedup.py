@@ -165,22 +165,19 @@ def _probe(kind: str, account: Column, day: Column, text: Column, amount: Column
                     amount.cast("long").alias("amount_key"))
 
 
-_NO_AMOUNT, _NO_TEXT = L(0), L("")
-
-
 def _row_probes(keyed: DataFrame) -> DataFrame:
     """What each upload row looks for in the ledger; account_id is null when unknown."""
-    day, account = C("statement_date"), C("account_id")
+    day, account, no_amount, no_text = C("statement_date"), C("account_id"), L(0), L("")
     dated, known = day.isNotNull(), account.isNotNull()
     by_reference = C("ref").isNotNull() & known
     by_interest = ~by_reference & C("interest_like") & known & dated
     exact_text = F.concat_ws(_SEPARATOR, "merchant_key", "place_key", "stored_kind")
     probes = F.array(
-        F.when(by_reference & dated, _probe("reference", account, day, C("ref"), _NO_AMOUNT)),
+        F.when(by_reference & dated, _probe("reference", account, day, C("ref"), no_amount)),
         # a stored interest row with its own reference also matches through this key, which
         # covers the reference-free variant with equal merchant
         F.when((by_interest | (by_reference & C("interest_like"))) & dated,
-               _probe("interest", account, day, _NO_TEXT, C("amount_e4"))),
+               _probe("interest", account, day, no_text, C("amount_e4"))),
         F.when(~by_reference & ~by_interest & dated,
                _probe("exact", account, day, exact_text, C("amount_e4"))))
     return keyed.select("row_idx", "user_id", F.inline(F.array_compact(probes)))
@@ -204,15 +201,15 @@ def _ledger_probes(ledger: DataFrame) -> DataFrame:
     other_day = second.isNotNull() & ~second.eqNullSafe(first)
     day = F.coalesce(first, second)
     exact_text = F.concat_ws(_SEPARATOR, "merchant_key", "place_key", "kind_key")
-    account = C("account_id")
+    account, no_amount, no_text = C("account_id"), L(0), L("")
     probes = F.array(
         F.when(has_ref & first.isNotNull(),
-               _probe("reference", account, first, C("reference_number"), _NO_AMOUNT)),
+               _probe("reference", account, first, C("reference_number"), no_amount)),
         F.when(has_ref & other_day,
-               _probe("reference", account, second, C("reference_number"), _NO_AMOUNT)),
+               _probe("reference", account, second, C("reference_number"), no_amount)),
         F.when(interest & first.isNotNull(),
-               _probe("interest", account, first, _NO_TEXT, amount)),
-        F.when(interest & other_day, _probe("interest", account, second, _NO_TEXT, amount)),
+               _probe("interest", account, first, no_text, amount)),
+        F.when(interest & other_day, _probe("interest", account, second, no_text, amount)),
         F.when(known & day.isNotNull(), _probe("exact", account, day, exact_text, amount)),
         # for rows whose account is not known: any account will do
         F.when(day.isNotNull(), _probe("exact", L(None), day, exact_text, amount)))
