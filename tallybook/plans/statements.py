@@ -55,9 +55,9 @@ def _chosen(s, d):
     return op.best_layout(op.both_layouts(words, profiles, inferred), inferred)
 
 
-def _parsed(s, d):
+def _plain_parsed(s, d):
+    """Every reader but the word-box one."""
     return cut_lineage(op.run_parsers({
-        "pdfplumber_coords": op.read_statements(src.statement_words(s, d), AS_OF),
         "pdfplumber_table": _cells(s, d),
         "camelot_stream": _cells(s, d, skip_zero=True, short_rows=True),
         "pdfplumber_text": _lines(s, d),
@@ -66,6 +66,12 @@ def _parsed(s, d):
     }))
 
 
+def _all_parsed(s, d):
+    boxes = op.run_parsers({
+        "pdfplumber_coords": op.read_statements(src.statement_words(s, d), AS_OF)})
+    return _plain_parsed(s, d).unionByName(boxes)
+
+
 QUERIES = {
     "x1_scan_ofx": lambda s, d: op.scan_ofx(derived.ofx_files(s, d)).drop("transaction_type"),
     "x2_ofx_type": lambda s, d: op.scan_ofx(derived.ofx_files(s, d)).select(
@@ -88,7 +94,7 @@ QUERIES = {
     "p8_detect_profile": _profiles,
     "p9_inferred_layout": _layouts,
     "p10_best_layout": _chosen,
-    "p11_parse_quality": lambda s, d: op.parse_quality(_parsed(s, d)),
-    "p12_recommend_parser": lambda s, d: op.recommend_parser(op.parse_quality(_parsed(s, d))),
-    "p14_run_parsers": _parsed,
+    "p11_parse_quality": lambda s, d: op.parse_quality(_plain_parsed(s, d)),
+    "p12_recommend_parser": lambda s, d: op.recommend_parser(op.parse_quality(_plain_parsed(s, d))),
+    "p14_run_parsers": _all_parsed,
 }
