@@ -49,10 +49,17 @@ class HeaderMap:
                 self.fields[k] for k in ("debit", "credit") if k in self.fields)
         return shown
 
-    def cells(self) -> list[Column]:
-        """Projection onto the raw cell columns; absent fields are ''."""
-        return [F.coalesce(F.col(f"`{self.fields[k]}`").cast("string"), L("")).alias(cell)
-                if k in self.fields else L("").alias(cell) for k, cell in _CELLS.items()]
+    def cells(self, column_of: dict[str, str] | None = None) -> list[Column]:
+        """Projection onto the raw cell columns; absent fields are ''.
+
+        column_of names the DataFrame column of each title where they differ.
+        """
+        def cell(title: str) -> Column:
+            name = column_of[title] if column_of else title
+            return F.coalesce(F.col(f"`{name}`").cast("string"), L(""))
+
+        return [(cell(self.fields[k]) if k in self.fields else L("")).alias(raw)
+                for k, raw in _CELLS.items()]
 
 
 def resolve_header(columns: list[str]) -> HeaderMap | None:
@@ -135,7 +142,8 @@ def parse_cells(raw: DataFrame, default_currency: str = "CAD") -> DataFrame:
     Empty dates are null without error. A row keeps its first error: amount, date, posted date.
     """
     cells = [c for c in _CELLS.values() if c in raw.columns]
-    keys = [c for c in ("row_idx", "user_id", "source_file", "is_split") if c in raw.columns]
+    keys = [c for c in ("row_idx", "row_no", "user_id", "source_file", "is_split")
+            if c in raw.columns]
     text = raw.select(*keys, *[trimmed(F.coalesce(C(c), L(""))).alias(c) for c in cells])
     signed, shown = read_amount(C("amount_raw")), C("amount_raw")
     if "debit_raw" in cells:
@@ -152,8 +160,8 @@ def parse_cells(raw: DataFrame, default_currency: str = "CAD") -> DataFrame:
                    F.concat(L("Cannot parse date: "), C("posted_raw"))))
     verdict = classify(C("signed"), C("merchant_raw"), C("mcc_raw"))
     return (computed_once(typed, error.alias("error"), verdict.alias("verdict"))
-            .select("row_idx", "user_id", "source_file", "transaction_date", "posted_date",
-                    C("ref_raw").alias("reference_number"),
+            .select("row_idx", *[c for c in keys if c == "row_no"], "user_id", "source_file",
+                    "transaction_date", "posted_date", C("ref_raw").alias("reference_number"),
                     C("merchant_raw").alias("merchant_name"),
                     C("city_raw").alias("merchant_city"), C("state_raw").alias("merchant_state"),
                     C("country_raw").alias("merchant_country"),
@@ -170,10 +178,11 @@ def parse_cells(raw: DataFrame, default_currency: str = "CAD") -> DataFrame:
 
 def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, error messages 'Row i: ...'); one bad row never costs the others."""
-    good = parsed.filter(C("error").isNull()).drop("error")
+    number = C("row_no") if "row_no" in parsed.columns else C("row_idx")
+    good = parsed.filter(C("error").isNull()).drop("error", "row_no")
     bad = parsed.filter(C("error").isNotNull()).select(
         "user_id", "source_file", "row_idx",
-        F.concat(L("Row "), C("row_idx").cast("string"), L(": "), C("error")).alias("message"))
+        F.concat(L("Row "), number.cast("string"), L(": "), C("error")).alias("message"))
     return good, bad
 
 
