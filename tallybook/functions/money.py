@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallybook.functions.text import WHITE_SPACE, bound, trimmed
+from tallybook.functions.text import bound, trimmed
 
 
 def to_cents(amount: Column) -> Column:
@@ -66,7 +66,7 @@ def _parenthesised_negative(text: Column) -> Column:
 
 
 def _cleaned(text: Column) -> Column:
-    return F.translate(_parenthesised_negative(text), ",$" + WHITE_SPACE, "")
+    return F.regexp_replace(_parenthesised_negative(text), r"(?U)[,$\s]", "")
 
 
 def read_amount(text: Column) -> Column:

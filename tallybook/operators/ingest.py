@@ -159,7 +159,7 @@ def parse_cells(raw: DataFrame, default_currency: str = "CAD") -> DataFrame:
              .when(C("posted_date").isNull() & (C("posted_raw") != ""),
                    F.concat(L("Cannot parse date: "), C("posted_raw"))))
     verdict = classify(C("signed"), C("merchant_raw"), C("mcc_raw"))
-    return (computed_once(typed, error.alias("error"), verdict.alias("verdict"))
+    return (typed.withColumns({"error": error, "verdict": verdict})
             .select("row_idx", *[c for c in keys if c == "row_no"], "user_id", "source_file",
                     "transaction_date", "posted_date", C("ref_raw").alias("reference_number"),
                     C("merchant_raw").alias("merchant_name"),

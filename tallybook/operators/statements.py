@@ -59,7 +59,7 @@ def _finish(rows: DataFrame, merchant: Column, signed: Column) -> DataFrame:
     """Add merchant_name, signed amount, amount and transaction_type."""
     typed = rows.withColumns({"merchant_name": trimmed(merchant), "signed": signed})
     verdict = classify(C("signed"), C("merchant_name"), L(""))
-    return computed_once(typed, verdict.alias("verdict")).withColumns({
+    return typed.withColumn("verdict", verdict).withColumns({
         "amount": C("verdict.amount"), "transaction_type": C("verdict.type")}).drop("verdict")
 
 
@@ -300,21 +300,24 @@ def infer_layout(words: DataFrame, profiles: DataFrame) -> DataFrame:
 def extract_words(words: DataFrame, layouts: DataFrame) -> DataFrame:
     """Transactions and skipped lines of word boxes under layouts(file, page, layout, year).
 
-    Each word meets its own page's ranges only; a line's words are joined left to right.
+    Words become lines first, so the join with the ranges moves one row per line; a line's words
+    are then picked by range, left to right.
     """
-    placed = words.join(layouts, ["file", "page"]).withColumn("y", _line_of(C("top")))
+    grouped = words.groupBy("file", "page", _line_of(C("top")).alias("y")).agg(
+        F.sort_array(F.collect_list(F.struct("x0", "text"))).alias("words"))
+    placed = grouped.join(layouts, ["file", "page"])
 
     def joined(field: str) -> Column:
-        inside = C("x0").between(C("layout")[field]["lo"], C("layout")[field]["hi"])
-        found = F.sort_array(F.collect_list(F.when(inside, F.struct("x0", "text"))))
-        return trimmed(F.array_join(found.getField("text"), " ")).alias(f"{field}_text")
-
-    lines = placed.groupBy("file", "page", "y").agg(
-        *[joined(f) for f in LAYOUT_FIELDS], F.first("year").alias("year"),
-        F.first(C("layout")["amount"].isNotNull()).alias("has_amount"),
-        F.first(C("layout")["balance"].isNotNull()).alias("has_balance"),
-        F.first(C("layout")["debit"].isNotNull() | C("layout")["credit"].isNotNull())
-        .alias("has_sides"))
+        bounds = C("layout")[field]
+        inside = F.filter("words", lambda w: w["x0"].between(bounds["lo"], bounds["hi"]))
+        return trimmed(F.array_join(inside.getField("text"), " ")).alias(f"{field}_text")
+
+    amount, sides = C("layout")["amount"], (C("layout")["debit"], C("layout")["credit"])
+    lines = computed_once(
+        placed.select("file", "page", "y", "words", "layout", "year"),
+        *[joined(f) for f in LAYOUT_FIELDS], amount.isNotNull().alias("has_amount"),
+        C("layout")["balance"].isNotNull().alias("has_balance"),
+        (sides[0].isNotNull() | sides[1].isNotNull()).alias("has_sides"))
     real = lines.filter((C("date_text") != "") & (C("desc_text") != "")
                         & ~skip_row(C("desc_text")))
     read = computed_once(
