@@ -69,7 +69,8 @@ def test_inferred_layout_is_carried_while_it_wins(spark):
                       (545, "Deposits")])
     shifted = [(380, "1.00"), (450, "2.00")]
     words = _words(spark, (1, 8, [(30, "Scotiabank"), (90, "2023")]), header,
-                   *_page(1, 100, shifted), *_page(2, 100, shifted), *_page(3, 0, shifted),
+                   *_page(1, 100, shifted), *_page(2, 100, shifted),
+                   *_page(3, 0, [(380, "1.00"), (460, "2.00")]),
                    *_page(4, 100, shifted))
     profiles = op.detect_profile(words, AS_OF)
     inferred = op.infer_layout(words, profiles)
