@@ -44,9 +44,14 @@ def local_session(cores: str = "8", app: str = "tallybook", memory: str = "8g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a test folder if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder every executor can reach: setCheckpointDir's, else spark.checkpoint.dir.
+
+    Only a session that runs in one local process, as in tests, gets a folder of its own.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="run-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
