@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallybook.llm import near_dedup
+from tallybook.llm import near_dedup, toxicity
 from tallybook.llm.common import table
 
 QUERIES = {
     "op2_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
+    "op3_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 SQL = {
