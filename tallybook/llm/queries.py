@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallybook.llm import near_dedup, quality, toxicity
+from tallybook.llm import decontaminate, near_dedup, quality, toxicity
 from tallybook.llm.common import table
 
 QUERIES = {
+    "op1_decontaminate": lambda s, d: decontaminate.contaminated(
+        table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op10_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "labels")),
