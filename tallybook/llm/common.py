@@ -14,6 +14,7 @@ from tallybook.session import cut_lineage
 ARROW_ROWS = 256
 # Words whose codes a Python worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 200_000
+MAP_BITS = 26
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,3 +76,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """2^bits bits, those at the low bits of the hashes set; made by tasks in pieces of 4 KB.
+
+    Its size is fixed (8 MB), whatever the number of hashes.
+    """
+    slot = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    pieces = hashes.select(F.bitmap_bucket_number(slot).alias("piece"),
+                           F.bitmap_bit_position(slot).alias("bit")) \
+        .groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for p in pieces:
+        own = np.frombuffer(p.held, np.uint8)
+        out[(p.piece - 1) * 4096:(p.piece - 1) * 4096 + len(own)] = own
+    return out

@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import MIX, batch, mixed, prepared, stored, texts, word_codes, words
+from tallybook.llm.common import MAP_BITS, MIX, batch, bit_map, mixed, prepared, stored, texts, word_codes, words
 
 MASKS = ("111111", "1110111", "1111011", "1101111", "11011011", "1010110101")
-MAP_BITS = 26
 SENT_KEYS = 1_000_000  # keys (8 MB) sent to every executor at most
 MIN_MATCHES = 12
 IDENTITY = 0.75
@@ -90,19 +89,6 @@ def seeds(benchmark: DataFrame) -> DataFrame:
     return benchmark.mapInArrow(rows, "hash long, item_id long, at int").distinct()
 
 
-def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """2^bits bits, those at the low bits of the hashes set; made by tasks in pieces of 4 KB."""
-    slot = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    pieces = hashes.select(F.bitmap_bucket_number(slot).alias("piece"),
-                           F.bitmap_bit_position(slot).alias("bit")) \
-        .groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for p in pieces:
-        own = np.frombuffer(p.held, np.uint8)
-        out[(p.piece - 1) * 4096:(p.piece - 1) * 4096 + len(own)] = own
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES,
                  identity: float = IDENTITY) -> DataFrame:
     """doc_id, item_id, start_word, n_words, n_equal: a row for each document and item it holds."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallybook.llm import decontaminate, near_dedup, quality, toxicity
+from tallybook.llm import decontaminate, near_dedup, pii, quality, toxicity
 from tallybook.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
         table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
+    "op7_pii": lambda s, d: pii.private(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "labels")),
 }
 
