@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallybook.llm import decontaminate, near_dedup, pii, quality, toxicity
+from tallybook.llm import (chat, context_tree, decontaminate, forest, near_dedup, pii, quality,
+                           token_files, toxicity, unigram)
 from tallybook.llm.common import table
 
 QUERIES = {
@@ -10,10 +11,18 @@ QUERIES = {
         table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
     "op3_toxicity": lambda s, d: toxicity.toxicity(table(s, d, "documents"), table(s, d, "labels")),
+    "op4_chat": lambda s, d: chat.digests(chat.formatted(
+        chat.with_planted(table(s, d, "conversations")))),
+    "op5_sentencepiece": lambda s, d: unigram.encoded(
+        table(s, d, "documents").select("doc_id", "text")).drop("text"),
+    "op6_neighbours": lambda s, d: forest.nearest(table(s, d, "embeddings")),
     "op7_pii": lambda s, d: pii.private(table(s, d, "documents")),
+    "op8_context_tree": lambda s, d: context_tree.scored(table(s, d, "documents")),
+    "op9_token_files": lambda s, d: token_files.token_output(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 SQL = {
     "op2_near_dedup": near_dedup.SQL,
+    "op4_chat": chat.SQL,
 }

@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tallybook.llm.common import prepared
+from tallybook.llm.common import KEPT_WORDS, prepared
 
 MARKER = "▁"
 MARK = MARKER.encode()
@@ -74,19 +75,20 @@ class Trie:
             own = np.array(sorted(children[node]), np.int64)
             if not len(own):
                 continue
-            while used[free]:
-                free += 1
-            at = max(2, free - int(own[0]))
-            while True:
-                if at + 300 >= len(used):
+            while True:  # the first place whose slots for all children are free, by windows
+                if free + 4096 + 600 >= len(used):
                     more = len(used)
                     base, value = np.append(base, np.zeros(more, np.int64)), np.append(
                         value, np.full(more, -1, np.int64))
                     check = np.append(check, np.full(more, -1, np.int64))
                     used = np.append(used, np.zeros(more, bool))
-                if not used[at + own].any():
+                low = max(free, 2 + int(own[0]))
+                starts = low + np.flatnonzero(~used[low:low + 4096]) - int(own[0])
+                fits = starts[~used[starts[:, None] + own].any(axis=1)]
+                if len(fits):
+                    at = int(fits[0])
                     break
-                at += 1
+                free += 4096
             base[state] = at
             used[at + own] = True
             check[at + own] = state
@@ -118,6 +120,7 @@ class Unigram:
                 self.byte[int(p[3:5], 16)] = i
         if (self.byte < 0).any():
             raise ValueError("byte fallback needs all 256 byte pieces")
+        self.kept: dict[str, np.ndarray] = {}  # ids of chunks seen before
         # what an id decodes to: bytes for byte pieces, spaces for markers, nothing for controls
         self.plain = [bytes([int(p[3:5], 16)]) if k == BYTE
                       else p.replace(MARK, b" ") if k in (NORMAL, USER) else b""
@@ -243,11 +246,14 @@ class Unigram:
         rows = []
         for text in texts:
             rows.append([known.setdefault(c, len(known)) for c in chunks_of(text)])
-        ids = self.encode_batch([c.encode("utf-8") for c in known])
-        literal = self.byte[list(MARK)]
-        for c, i in known.items():
-            if c == LITERAL:
-                ids[i] = literal
+        new = [c for c in known if c not in self.kept]
+        made = dict(zip(new, self.encode_batch([c.encode("utf-8") for c in new])))
+        if LITERAL in made:
+            made[LITERAL] = self.byte[list(MARK)]
+        ids = [made[c] if c in made else self.kept[c] for c in known]
+        if len(self.kept) + len(made) > KEPT_WORDS:
+            self.kept.clear()
+        self.kept.update((c, x) for c, x in made.items() if len(c) <= WIDE)
         sizes = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
@@ -320,6 +326,6 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "text") -> D
                  pa.array([unigram.decode(x.tolist()) == t for x, t in zip(ids, texts)])],
                 names=[*b.schema.names, *added])
 
-    schema = kept.schema.add("ids", "array<int>").add("n_tokens", "long") \
+    schema = StructType(list(kept.schema.fields)).add("ids", ArrayType(IntegerType())).add("n_tokens", "long") \
         .add("n_bytes", "long").add("exact", "boolean")
     return kept.mapInArrow(rows, schema)
