@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import batch, fold, prepared, stored, texts, word_codes, words
 from tallybook.session import shared_folder
 
-DEPTH = 4
+DEPTH = 5
 END = 255
 BLOCK_DOCS = 8_192  # documents of a block at most
 GRAM, WORD = 0, 1
