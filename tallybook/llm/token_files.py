@@ -16,6 +16,8 @@ empty manifest. One document is one frame at least, however long; extra columns
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -113,15 +115,59 @@ class FrameReader:
         return self.ids[row["first"]:row["first"] + row["n"]]
 
 
-_TOKENIZERS: dict = {}
+_ENCODERS: dict = {}
+KEPT_PIECES = 500_000
+# The letters, numbers and white space below U+0250, and the pattern that splits a
+# text before the merges, written with them.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \xa0"
+PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+"
+                    rf"| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
-def tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class Encoder:
+    """A vocabulary file whose words are encoded once while they are kept.
+
+    Byte-level vocabularies never merge across the pieces their pattern splits a text into, so a
+    text's ids are those of its pieces. Only texts below U+0250 without the control characters that
+    regex libraries class differently, and without special tokens, are split here; all other texts
+    and all other kinds of vocabulary go to the library whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+        self.library = Tokenizer.from_file(path)
+        kind = json.loads(self.library.to_str())
+        split = kind.get("pre_tokenizer") or {}
+        self.byte_level = (kind.get("normalizer") is None and split.get("type") == "ByteLevel"
+                           and not split.get("add_prefix_space") and split.get("use_regex", True))
+        special = "|".join(re.escape(t["content"]) for t in kind.get("added_tokens", []))
+        self.whole = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]"
+                                   + (f"|{special}" if special else ""))
+        self.kept: dict[str, bytes] = {}
+
+    def _encode(self, found: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes()
+                for x in self.library.encode_batch_fast(found, add_special_tokens=False)]
+
+    def encode(self, found: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        alone = [not self.byte_level or bool(self.whole.search(t)) for t in found]
+        whole = iter(self._encode([t for t, x in zip(found, alone) if x]))
+        split = [None if x else PIECES.findall(t) for t, x in zip(found, alone)]
+        if len(self.kept) > KEPT_PIECES:
+            self.kept.clear()
+        new = list({w for row in split if row for w in row if w not in self.kept})
+        self.kept.update(zip(new, self._encode(new)))
+        return [np.frombuffer(next(whole) if row is None
+                              else b"".join(map(self.kept.__getitem__, row)), "<u4")
+                for row in split]
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
@@ -133,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
                         ("n_tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, name, first, total = tokenizer(path), None, "", None, 0
+        own, writer, name, first, total = encoder(path), None, "", None, 0
         for b in batches:
             ids_of = b.column("doc_id").to_pylist()
             if not ids_of:
@@ -144,10 +190,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
                 system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 writer = FrameWriter(system.open_output_stream(place, compression=None), level)
                 first = (ids_of[0], b.column("hash")[0].as_py())
-            found = encoder.encode_batch_fast(b.column("text").to_pylist(),
-                                              add_special_tokens=False)
+            found = own.encode(b.column("text").to_pylist())
             for doc_id, one in zip(ids_of, found):
-                ids = np.append(np.array(one.ids, "<u4"), np.uint32(end_id))
+                ids = np.append(one, np.uint32(end_id))
                 writer.add(doc_id, ids)
                 total += len(ids)
         if writer is not None:
