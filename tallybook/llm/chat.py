@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 # Fixed role texts and the fields of each layout; "[]" steps into an array, "=" is a constant role.
 MAPPINGS = {
-    "rows": {"paths": ["conv_id", "role", "text", "turn"]},
+    "rows": {"paths": ["role", "text", "turn"]},
     "messages": {"paths": ["messages[].content", "messages[].role"],
                  "list": ("messages", "role", "content")},
     "from_value": {"paths": ["conversations[].from", "conversations[].value"],
@@ -66,6 +66,8 @@ def schema_paths(kind: DataType, above: str = "") -> list[str]:
 def layout_of(schema: StructType) -> str:
     """The layout of a table; ValueError where no mapping has its fingerprint."""
     known = [p for p in schema_paths(schema) if p in PATHS]
+    nested = [p for p in known if p not in MAPPINGS["rows"]["paths"]]
+    known = nested or known  # columns of rows beside a record's own fields are extra columns
     name = LAYOUTS.get(fingerprint(known))
     if name is None:
         raise ValueError(f"no mapping for the fields {known}")
@@ -119,7 +121,7 @@ def canonical_json(table: DataFrame, column: str = "record", conv_id: str = "con
         at = "$." + path.replace("[]", "[0]")
         return F.when(F.try_variant_get("v", at, "string").isNotNull(), F.lit(path))
 
-    paths = F.array_compact(F.array(*(held(p) for p in PATHS if p not in ("conv_id", "turn"))))
+    paths = F.array_compact(F.array(*(held(p) for p in PATHS if p not in MAPPINGS["rows"]["paths"])))
     rows = rows.withColumn("print", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256))
 
     def text(path: str) -> Column:
