@@ -193,7 +193,7 @@ def test_context_tree_equals_the_sequential_mixture(spark):
     row = {r.doc_id: r for r in context_tree.scored(table).collect()}[ids[0]]
     assert row.held_out and row.n_tokens == 2 and row.n_known == 1 and row.train_tokens == 3
     assert row.score == pytest.approx(want, rel=1e-9)
-    assert row.base_score == pytest.approx(np.log10(1 / 7) + np.log10(2 / 7))
+    assert row.base_score == pytest.approx(np.log10(1 / 6) + np.log10(2 / 6))
 
 
 def test_token_files_round_trip(tmp_path, docs):
