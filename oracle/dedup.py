@@ -2,13 +2,12 @@ import oracle.ingest  # noqa: F401  (defines good, suggested and kw)
 from oracle.tables import define, over
 
 
-def _low(column: str, width: int = 200) -> str:
-    return (rf"substr(trim(regexp_replace(lower(coalesce({column}, '')), '\s+', ' ', 'g')), "
-            f"1, {width})")
+def _low(column: str) -> str:
+    return rf"trim(regexp_replace(lower(coalesce({column}, '')), '\s+', ' ', 'g'))"
 
 
 _PLACE = " || '|' || ".join([_low("merchant_city"), _low("merchant_state"),
-                             _low("merchant_country"), _low("mcc_description", 300)])
+                             _low("merchant_country"), _low("mcc_description")])
 _INTEREST = "cash interest|interest payment|interest earned|interest charge|interest paid"
 
 
@@ -202,7 +201,7 @@ SQL = {
                {_low('merchant_raw')} AS merchant_key,
                {_FOUR.format('card_raw')} AS last_four,
                {_low('city_raw')} || '|' || {_low('state_raw')} || '|' || {_low('country_raw')}
-                 || '|' || {_low('mcc_raw', 300)} AS place_key
+                 || '|' || {_low('mcc_raw')} AS place_key
         FROM raw"""),
     "d2_default_card": over("default_cards")("SELECT * FROM default_cards"),
     "d3_statement_date": over("keyed")("SELECT row_idx, sd AS statement_date FROM keyed"),

@@ -108,8 +108,8 @@ _SKIP = (r"(?i)^\s*(opening|closing|balance\s*forward|previous\s*balance|new\s*b
          r"|available\s*credit|statement\s*date|payment\s*due|brought\s*forward)\b")
 
 define("stmt_years", rf"""
-    SELECT file, coalesce(CAST(nullif(regexp_extract(substr(string_agg(text, {NL}
-             ORDER BY line_no), 1, 1000), '\b(20\d{{2}})\b', 1), '') AS INTEGER), 2001) AS year
+    SELECT file, coalesce(CAST(nullif(regexp_extract(string_agg(text, {NL}
+             ORDER BY line_no), '\b(20\d{{2}})\b', 1), '') AS INTEGER), 2001) AS year
     FROM stmt_lines GROUP BY file""", "stmt_lines")
 define("dated_lines", rf"""
     SELECT * FROM (
@@ -150,7 +150,7 @@ def _line_rows(two_amounts: bool, words: str | None) -> str:
 _FULL = (r"credit\s*memo|direct\s*deposit|e[\-\s]?deposit|payroll\s*deposit|refund|reversal"
          r"|interest\s*paid|dividend\s*paid")
 define("line_rows", _line_rows(True, _FULL), "dated_lines", "stmt_years")
-define("scan_rows", _line_rows(False, r"credit\s*memo|direct\s*deposit|refund|reversal"),
+define("scan_rows", _line_rows(True, r"credit\s*memo|direct\s*deposit|refund|reversal"),
        "dated_lines", "stmt_years")
 define("plain_rows", _line_rows(False, None), "dated_lines", "stmt_years")
 
@@ -168,7 +168,9 @@ def _at(field: str) -> str:
         f"nullif(list_position(h, '{a}'), 0)" for a in _ALIASES[field].split("|")) + ")"
 
 
-def _cell_rows(skip_zero: bool, short_rows: bool) -> str:
+def _cell_rows(skip_zero: bool, short_rows: bool, one_line: bool = True) -> str:
+    cell = "coalesce(c[m_at], '')"
+    merchant = f"replace({cell}, {NL}, ' ')" if one_line else cell
     return rf"""
     SELECT file, page, table_no, row_no, transaction_date, merchant AS merchant_name,
            value AS signed, abs(value) AS amount, {_kind('merchant', 'value')}
@@ -181,7 +183,7 @@ def _cell_rows(skip_zero: bool, short_rows: bool) -> str:
                  CASE WHEN split THEN CASE WHEN debit <> 0 THEN debit ELSE -credit END
                       ELSE {_value('single')} END AS value
           FROM (SELECT *, trim(split_part(coalesce(c[d_at], ''), {NL}, 1)) AS date_text,
-                       trim(replace(coalesce(c[m_at], ''), {NL}, ' ')) AS merchant,
+                       trim({merchant}) AS merchant,
                        coalesce({_value("coalesce(c[w_at], '')")}, 0) AS debit,
                        coalesce({_value("coalesce(c[p_at], '')")}, 0) AS credit,
                        coalesce(c[a_at], '') AS single,
@@ -204,22 +206,25 @@ def _cell_rows(skip_zero: bool, short_rows: bool) -> str:
 
 
 define("cell_rows", _cell_rows(False, False), "stmt_cells")
-define("stream_rows", _cell_rows(True, True), "stmt_cells")
-define("header", f"""
-    SELECT file, string_agg(text, {NL} ORDER BY page, y) AS text
-    FROM (SELECT file, page, CAST(round_even(top / 4, 0) * 4 AS INTEGER) AS y,
-                 string_agg(text, ' ' ORDER BY x0, text) AS text
-          FROM stmt_words WHERE page <= 2 GROUP BY ALL) GROUP BY file""", "stmt_words")
+define("stream_rows", _cell_rows(True, True, False), "stmt_cells")
+define("page_lines", """
+    SELECT file, page, CAST(round_even(top / 4, 0) * 4 AS INTEGER) AS y,
+           string_agg(text, ' ' ORDER BY x0, text) AS text
+    FROM stmt_words GROUP BY ALL""", "stmt_words")
 _PHRASES = ", ".join(f"({i}, '{name}', '{phrase.upper()}')"
                      for i, (name, phrases, _) in enumerate(LAYOUTS) for phrase in phrases)
 define("profiles", rf"""
-    SELECT file, coalesce(n, 0) AS number, coalesce(name, 'TD Visa') AS profile,
-           n IS NOT NULL AS recognised,
-           coalesce(CAST(nullif(regexp_extract(substr(text, 1, 1000), '\b(20\d{{2}})\b', 1), '')
-                    AS INTEGER), 2001) AS year
-    FROM (SELECT file, text, CAST(min(n) AS INTEGER) AS n, arg_min(name, n) AS name
-          FROM header LEFT JOIN (VALUES {_PHRASES}) AS p(n, name, phrase)
-            ON contains(upper(text), phrase) GROUP BY file, text)""", "header")
+    SELECT f.file, CAST(coalesce(n, 0) AS INTEGER) AS number,
+           coalesce(name, 'TD Visa') AS profile, n IS NOT NULL AS recognised,
+           coalesce(year, 2001) AS year
+    FROM (SELECT DISTINCT file FROM stmt_words) f
+    LEFT JOIN (SELECT file, arg_min(n, page * 100 + n) AS n, arg_min(name, page * 100 + n) AS name
+               FROM page_lines JOIN (VALUES {_PHRASES}) AS p(n, name, phrase)
+                 ON contains(upper(text), phrase) GROUP BY file) h ON h.file = f.file
+    LEFT JOIN (SELECT file, arg_min(CAST(regexp_extract(text, '\b(20\d{{2}})\b', 1) AS INTEGER),
+                                    page * 1000000 + y) AS year
+               FROM page_lines WHERE regexp_matches(text, '\b20\d{{2}}\b') GROUP BY file) y
+      ON y.file = f.file""", "stmt_words", "page_lines")
 _RANGES = ", ".join(
     f"({i}, " + ", ".join(
         f"{x[f][0]}, {x[f][1]}" if f in x else "NULL, NULL" for f in LAYOUT_FIELDS) + ")"
@@ -298,8 +303,8 @@ SQL = {
         FROM (SELECT file, row_no, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS place,
                      unnest(cells) AS t FROM stmt_cells)"""),
     "p5_skip_row": over("stmt_lines")(
-        f"SELECT file, line_no, regexp_matches(substr(text, 8), '{_SKIP}') AS skipped "
-        "FROM stmt_lines"),
+        f"SELECT file, line_no, regexp_matches(coalesce(nullif(regexp_extract(text, '{_LINE}', 2), "
+        f"''), text), '{_SKIP}') AS skipped FROM stmt_lines"),
     "p6_table_cells": over("cell_rows")("SELECT * FROM cell_rows"),
     "p7_word_boxes": over("word_lines")(rf"""
         SELECT file, page, y, transaction_date, desc_text AS merchant_name, value AS signed,

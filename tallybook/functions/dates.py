@@ -42,11 +42,11 @@ def _named(text: Column, pattern: str, order: str, year: Column | None = None,
 _YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
 _YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
 _COMPACT = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
-_NAME_DAY_COMMA_YEAR = r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$"
-_NAME_DAY_YEAR = r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
-_DAY_NAME_YEAR = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
-_NAME_DAY = r"^([A-Za-z]{3})\s*(\d{1,2})$"
-_DAY_NAME = r"^(\d{1,2})(?:\s+|-)([A-Za-z]{3})$"
+_NAME_DAY_COMMA_YEAR = r"(?U)^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$"
+_NAME_DAY_YEAR = r"(?U)^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
+_DAY_NAME_YEAR = r"(?U)^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
+_NAME_DAY = r"(?U)^([A-Za-z]{3})\s*(\d{1,2})$"
+_DAY_NAME = r"(?U)^(\d{1,2})(?:\s+|-)([A-Za-z]{3})$"
 _MONTH_SLASH_DAY = r"^(\d{1,2})/(\d{1,2})$"
 _PACKED = r"^([A-Za-z]{3})(\d{1,2})(\d{4})$"
 

@@ -30,6 +30,15 @@ def within(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return null_safe_join(left, right.select(*keys), keys, "left_semi")
 
 
+def one_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of several, the greatest, compared column by column (null is least)."""
+    rest = [c for c in changes.columns if c not in keys]
+    if not rest:
+        return changes.distinct()
+    return changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(
+        *keys, "_row.*")
+
+
 def scoped(df: DataFrame, user: str | None) -> DataFrame:
     """Rows of one tenant; None is the local tenant."""
     return df.filter(F.col("user_id").eqNullSafe(F.lit(user).cast("string")))

@@ -40,9 +40,9 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(trimmed(text), F.lit(""))
 
 
-def collapsed_lower(text: Column, limit: int = 200) -> Column:
-    """Lower-case, inner white space collapsed, cut to the key width; null becomes ''."""
-    return F.substring(F.trim(squeeze(F.lower(F.coalesce(text, F.lit(""))))), 1, limit)
+def collapsed_lower(text: Column) -> Column:
+    """The whole text in lower case with inner white space collapsed; null becomes ''."""
+    return F.trim(squeeze(F.lower(F.coalesce(text, F.lit("")))))
 
 
 def digits_only(text: Column) -> Column:

@@ -33,8 +33,7 @@ def _place_key(prefix: str = "") -> Column:
     """City, state, country and category text in normal form, as one text."""
     return F.concat_ws(
         _SEPARATOR, *[collapsed_lower(C(prefix + c)) for c in (
-            "merchant_city", "merchant_state", "merchant_country")],
-        collapsed_lower(C(prefix + "mcc_description"), 300))
+            "merchant_city", "merchant_state", "merchant_country", "mcc_description")])
 
 
 def last_four(card: Column) -> Column:
@@ -52,7 +51,7 @@ def with_dedup_keys(rows: DataFrame, *carried: Column) -> DataFrame:
         rows, blank_to_null(C("reference_number")).alias("ref"),
         F.coalesce(trimmed(C("card_number_masked")), L("")).alias("own_card"),
         merchant.alias("merchant_key"), _place_key().alias("place_key"),
-        F.concat_ws(_SEPARATOR, collapsed_lower(currency, 8), collapsed_lower(kind, 20))
+        F.concat_ws(_SEPARATOR, collapsed_lower(currency), collapsed_lower(kind))
         .alias("kind_key"),
         F.concat_ws(_SEPARATOR, F.upper(currency), F.lower(kind)).alias("stored_kind"))
     amount = F.coalesce("amount", L(0.0))
@@ -140,7 +139,7 @@ def with_batch_key(keyed: DataFrame, token: Column) -> DataFrame:
               .when(C("interest_like") & dated, "interest").when(dated, "exact"))
     exact = C("branch") == "exact"
     return keyed.withColumn("branch", branch).withColumns({
-        "token": F.when(exact, collapsed_lower(token, 40)).otherwise(token),
+        "token": F.when(exact, collapsed_lower(token)).otherwise(token),
         "key_text": F.when(C("branch") == "reference", C("ref"))
         .when(C("branch") == "interest", C("merchant_key"))
         .otherwise(F.concat_ws(_SEPARATOR, "merchant_key", "place_key", "kind_key")),

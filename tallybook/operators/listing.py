@@ -19,7 +19,6 @@ C, L = F.col, F.lit
 
 ALL_USERS = object()  # keep every tenant; user_id stays a grouping key
 NO_MONTHS = "__none__"
-MAX_PAGE = 5000
 
 
 def in_months(months: str | None = None, year: int | None = None,
@@ -84,8 +83,12 @@ def filter_ledger(ledger: DataFrame, *, user: object = ALL_USERS, months: str |
                   transaction_type: str | None = None, category_id: int | None = None,
                   account_id: int | None = None, search: str | None = None,
                   min_amount: float | None = None, max_amount: float | None = None,
-                  include_excluded: bool = False, ignore_dates: bool = False) -> DataFrame:
-    """Rows that pass every filter given; a date range wins over months."""
+                  include_excluded: bool = False, ignore_dates: bool = False,
+                  wildcards: bool = False) -> DataFrame:
+    """Rows that pass every filter given; a date range wins over months.
+
+    With `wildcards` % and _ of the search text stand for any text and any character.
+    """
     conditions: list[Column | None] = []
     if not include_excluded:
         conditions.append(~C("is_excluded"))
@@ -102,7 +105,7 @@ def filter_ledger(ledger: DataFrame, *, user: object = ALL_USERS, months: str |
         conditions.append(C("amount") >= min_amount)
     if max_amount is not None:
         conditions.append(C("amount") <= max_amount)
-    conditions.append(matches_search(search))
+    conditions.append(matches_search(search, wildcards))
     rows = ledger if user is ALL_USERS else scoped(ledger, user)
     for condition in conditions:
         if condition is not None:
@@ -141,10 +144,11 @@ def list_transactions(ledger: DataFrame, categories: DataFrame, accounts: DataFr
     """One page of a tenant's ledger with names and the exact-duplicate flag.
 
     Sorting and limiting run first (a top-k over narrow rows); names and the flag are looked up
-    for the page alone, whose size is bounded by MAX_PAGE.
+    for the page alone, of any size: how the page's keys meet the ledger is left to their measured
+    size.
     """
-    if not 1 <= page_size <= MAX_PAGE or page < 1:
-        raise ValueError(f"page must be positive and page_size within 1..{MAX_PAGE}")
+    if page_size < 1 or page < 1:
+        raise ValueError("page and page_size must be positive")
     own = scoped(ledger, user)
     rows = filter_ledger(own, ignore_dates=duplicate_only, **filters)
     if duplicate_only:
@@ -172,9 +176,9 @@ def duplicates_within(rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def flag_page(listed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """exact_duplicate of at most MAX_PAGE rows: only their keys are counted in the ledger."""
+    """exact_duplicate of the listed rows: only their keys are counted in the ledger."""
     keyed = with_duplicate_key(listed)
-    keys = F.broadcast(keyed.select("user_id", DUPLICATE_KEY).distinct())
+    keys = keyed.select("user_id", DUPLICATE_KEY).distinct()
     counts = (null_safe_join(
         with_duplicate_key(ledger).select("user_id", DUPLICATE_KEY), keys,
         ["user_id", DUPLICATE_KEY], "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.joins import null_safe_join, within, without
+from tallybook.functions.joins import null_safe_join, one_per_key, within, without
 from tallybook.functions.money import from_cents
 from tallybook.functions.text import keyword_list, keywords_csv, trimmed
 from tallybook.operators.budget import category_of_key
@@ -34,11 +34,13 @@ def apply_patches(ledger: DataFrame, patches: DataFrame, set_flags: bool = True)
     """Ledger with one patch per (user_id, id).
 
     With set_flags a field changes where its boolean set_<field> is true, also to null; else it
-    changes where the patch value is not null.
+    changes where the patch value is not null. Of several patches of one row the greatest counts,
+    as one_per_key compares them; the ledger keeps its rows.
     """
     fields = [c for c in patches.columns if c in ledger.columns and c not in ("user_id", "id")]
-    new = patches.select("user_id", "id", *[C(c).alias(f"_new_{c}") for c in fields], *[
-        C(f"set_{c}") for c in fields if set_flags])
+    new = one_per_key(patches.select(
+        "user_id", "id", *[C(c).alias(f"_new_{c}") for c in fields],
+        *[C(f"set_{c}") for c in fields if set_flags]), ["user_id", "id"])
     joined = null_safe_join(ledger, new, ["user_id", "id"])
 
     def value(c: str) -> Column:
@@ -85,10 +87,12 @@ def rewrite_currency(rows: DataFrame, settings: DataFrame, changes: DataFrame) -
     """Ledger or rules with every row of a user moved to a new currency; no conversion.
 
     changes(user_id, currency) of users whose default in settings(user_id, default_currency)
-    already equals it, and unreadable codes, change nothing.
+    already equals it, and unreadable codes, change nothing. Of several codes of a user the last
+    in the alphabet counts.
     """
-    wanted = changes.select("user_id", currency_code(C("currency")).alias("_new")).filter(
-        C("_new").isNotNull())
+    wanted = one_per_key(changes.select(
+        "user_id", currency_code(C("currency")).alias("_new")).filter(C("_new").isNotNull()),
+        ["user_id"])
     current = settings.select("user_id", "default_currency")
     active = null_safe_join(wanted, current, ["user_id"]).filter(
         C("_new") != F.coalesce("default_currency", L("CAD"))).drop("default_currency")
@@ -126,7 +130,8 @@ def upsert_categories(categories: DataFrame,
 
     changes(change_id, user_id, id, name, color, keywords): id null creates, else null fields
     stay. A change is refused when its name is taken by another category of the user or by an
-    earlier change of the batch, or when a keyword it adds is already on another category. New
+    earlier change of the batch, when an earlier change edits the same category, or when a keyword
+    it adds is already on another category. New
     ids are max(id) + 1 + change_id.
     """
     clean = changes.withColumns({
@@ -157,7 +162,11 @@ def upsert_categories(categories: DataFrame,
         exact.select("user_id", "exclude_category_id", "candidate").distinct(),
         ["user_id", "exclude_category_id", "candidate"], "left_semi").select(
         "change_id", L("keyword").alias("kind"), C("candidate").alias("detail"))
-    conflicts = name_taken.unionByName(repeated).unionByName(word_taken).distinct()
+    first_edits = edits.groupBy("user_id", "id").agg(F.min("change_id").alias("change_id"))
+    edited_twice = edits.join(first_edits.select("change_id"), "change_id", "left_anti").select(
+        "change_id", L("id").alias("kind"), C("id").cast("string").alias("detail"))
+    conflicts = name_taken.unionByName(repeated).unionByName(word_taken).unionByName(
+        edited_twice).distinct()
     accepted = todo.join(conflicts.select("change_id").distinct(), "change_id", "left_anti")
     first = categories.agg(F.coalesce(F.max("id"), L(0)) + 1).scalar()
     final = accepted.select(

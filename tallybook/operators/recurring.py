@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.joins import null_safe_join, within, without
+from tallybook.functions.joins import null_safe_join, one_per_key, within, without
 from tallybook.functions.money import from_cents
 
 C, L = F.col, F.lit
@@ -124,12 +124,22 @@ def _linked(ledger: DataFrame, rules: DataFrame) -> DataFrame:
                   ["user_id", "rule_id"])
 
 
+def _edited(field: str, given: list[str], flag: str) -> Column:
+    """new_<field> where it is not null or its flag is set, else the field as it is."""
+    value = F.coalesce(f"new_{field}", field)
+    if f"set_{field}" not in given:
+        return value
+    return F.when(C(flag + field), C(f"new_{field}")).otherwise(value)
+
+
 def changed_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
     """Rules with their edits applied.
 
     `changes` holds the full new schedule (start_date, frequency, end_date) and, where not null,
-    new values for copied fields. Adds schedule_changed.
+    new values for copied fields; a true set_<field> also sets the field to null. Of several
+    changes of one rule the greatest counts, as one_per_key compares them. Adds schedule_changed.
     """
+    changes = one_per_key(changes, ["id", "user_id"])
     new = changes.select("id", "user_id", *[
         C(c).alias(f"new_{c}") for c in changes.columns if c not in ("id", "user_id")])
     joined = null_safe_join(rules, new, ["id", "user_id"], "inner")
@@ -140,7 +150,7 @@ def changed_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
         out = out.withColumn(c, C(f"new_{c}"))
     for c in COPIED_FIELDS:
         if f"new_{c}" in joined.columns:
-            out = out.withColumn(c, F.coalesce(f"new_{c}", c))
+            out = out.withColumn(c, _edited(c, changes.columns, "new_set_"))
     if "new_amount_cents" in joined.columns:
         out = out.withColumn("amount", from_cents(C("amount_cents")))
     return out.select(*rules.columns, "schedule_changed")
@@ -197,6 +207,7 @@ def apply_update(rules: DataFrame, changes: DataFrame, ledger: DataFrame,
     for dates without one, copied fields spread to every linked row, and a changed schedule moves
     last_created_date to the horizon.
     """
+    changes = one_per_key(changes, ["id", "user_id"])
     changed = changed_rules(rules, changes)
     options = changes.select("id", "user_id", "remove_overlap", "backfill_missing")
     with_options = null_safe_join(changed, options, ["id", "user_id"])
@@ -205,12 +216,13 @@ def apply_update(rules: DataFrame, changes: DataFrame, ledger: DataFrame,
     kept = linked.join(dropped, "id", "left_anti")
     edits = [c for c in COPIED_FIELDS if c in changes.columns]
     new = changes.select(C("id").alias("recurring_rule_id"), "user_id",
-                         *[C(c).alias(f"new_{c}") for c in edits])
-    condition = (C("user_id").eqNullSafe(C("_u")) & (C("recurring_rule_id") == C("_r")))
+                         *[C(c).alias(f"new_{c}") for c in edits],
+                         *[C(f"set_{c}") for c in edits if f"set_{c}" in changes.columns])
+    condition =(C("user_id").eqNullSafe(C("_u")) & (C("recurring_rule_id") == C("_r")))
     kept = kept.join(new.withColumnsRenamed({"recurring_rule_id": "_r", "user_id": "_u"}),
                      condition, "left")
     for c in edits:
-        kept = kept.withColumn(c, F.coalesce(f"new_{c}", c))
+        kept = kept.withColumn(c, _edited(c, changes.columns, "set_"))
     if "amount_cents" in edits:
         kept = kept.withColumn("amount", F.when(
             C("new_amount_cents").isNotNull(), from_cents(C("amount_cents")))
@@ -227,8 +239,8 @@ def apply_update(rules: DataFrame, changes: DataFrame, ledger: DataFrame,
 
 def needs_confirmation(preview: DataFrame, changes: DataFrame) -> DataFrame:
     """Edits that change the schedule and leave overlapping or missing rows undecided."""
-    choices = changes.select("id", "user_id", "keep_overlap", "remove_overlap",
-                             "backfill_missing", "skip_backfill")
+    choices = one_per_key(changes, ["id", "user_id"]).select(
+        "id", "user_id", "keep_overlap", "remove_overlap", "backfill_missing", "skip_backfill")
     joined = null_safe_join(preview, choices, ["id", "user_id"])
     overlap_open = (C("overlap_count") > 0) & ~(C("keep_overlap") | C("remove_overlap"))
     missing_open = (C("missing_count") > 0) & ~(C("backfill_missing") | C("skip_backfill"))

@@ -20,17 +20,16 @@ C, L = F.col, F.lit
 # The shapes of statement lines.
 _DATE = (r"(?:\d{1,2}[/\-]\d{1,2}(?:[/\-]\d{2,4})?|[A-Za-z]{3,}\s*\d{1,2}(?:[,\s]+\d{4})?"
          r"|\d{1,2}[-\s][A-Za-z]{3}(?:\s+\d{4})?)")
-LINE = rf"^({_DATE})(?:\s+{_DATE})?\s+(.+)"
-ENDS_WITH_AMOUNT = r"^(.*?)[\-\+]?\$?\s*([\d,]+\.\d{2})\s*(?:CR|DB|DR)?\s*$"
+LINE = rf"(?U)^({_DATE})(?:\s+{_DATE})?\s+(.+)"
+ENDS_WITH_AMOUNT = r"(?U)^(.*?)[\-\+]?\$?\s*([\d,]+\.\d{2})\s*(?:CR|DB|DR)?\s*$"
 CREDIT_FLAG = r"(?i)\bCR\b"
-CREDIT_WORDS = (r"(?i)\b(credit\s*memo|direct\s*deposit|e[\-\s]?deposit|payroll\s*deposit|refund"
+CREDIT_WORDS = (r"(?iU)\b(credit\s*memo|direct\s*deposit|e[\-\s]?deposit|payroll\s*deposit|refund"
                 r"|reversal|interest\s*paid|dividend\s*paid)\b")
-SCAN_CREDIT_WORDS = r"(?i)\b(credit\s*memo|direct\s*deposit|refund|reversal)\b"
-SKIPPED_ROW = (r"(?i)^\s*(opening|closing|balance\s*forward|previous\s*balance|new\s*balance"
+SCAN_CREDIT_WORDS = r"(?iU)\b(credit\s*memo|direct\s*deposit|refund|reversal)\b"
+SKIPPED_ROW = (r"(?iU)^\s*(opening|closing|balance\s*forward|previous\s*balance|new\s*balance"
                r"|starting\s*balance|total|subtotal|minimum\s*payment|credit\s*limit"
                r"|available\s*credit|statement\s*date|payment\s*due|brought\s*forward)\b")
 YEAR = r"\b(20\d{2})\b"
-YEAR_WINDOW = 1000  # the year is looked for in this many leading characters, by definition
 
 
 def skip_row(text: Column) -> Column:
@@ -38,21 +37,21 @@ def skip_row(text: Column) -> Column:
     return text.rlike(SKIPPED_ROW)
 
 
-def year_of(text: Column, as_of: date) -> Column:
-    found = F.regexp_extract(F.substring(text, 1, YEAR_WINDOW), YEAR, 1)
-    return F.coalesce(F.nullif(found, L("")).cast("int"), L(as_of.year))
+def first_year(text: Column) -> Column:
+    """First 20xx of a text; null if it has none."""
+    return F.nullif(F.regexp_extract(text, YEAR, 1), L("")).cast("int")
 
 
-def infer_year(lines: DataFrame, as_of: date) -> DataFrame:
-    """First 20xx within a file's first 1000 characters, else the year of as_of.
+def _year_at(found: str, as_of: date, *place: str) -> Column:
+    """Aggregate: the year at the first place that has one, else the year of as_of."""
+    first = F.min(F.when(C(found).isNotNull(), F.struct(*place, found)))
+    return F.coalesce(first[found], L(as_of.year))
 
-    Every line ends in a line feed, so those characters lie in the first 1000 lines.
-    """
-    head = (lines.filter(C("line_no") <= YEAR_WINDOW)
-            .select("file", "line_no", F.substring("text", 1, YEAR_WINDOW).alias("text"))
-            .groupBy("file")
-            .agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("head")))
-    return head.select("file", year_of(F.array_join("head.text", "\n"), as_of).alias("year"))
+
+def infer_year(lines: DataFrame, as_of: date) -> DataFrame:
+    """First 20xx of a file, by line order, else the year of as_of."""
+    found = lines.select("file", "line_no", first_year(C("text")).alias("found"))
+    return found.groupBy("file").agg(_year_at("found", as_of, "line_no").alias("year"))
 
 
 def _finish(rows: DataFrame, merchant: Column, signed: Column) -> DataFrame:
@@ -119,11 +118,13 @@ def match_titles(titles: Column) -> dict[str, Column]:
 
 
 def extract_cells(cells: DataFrame, years: DataFrame, skip_zero: bool = False,
-                  short_rows: bool = False) -> DataFrame:
+                  short_rows: bool = False, one_line: bool = True) -> DataFrame:
     """Transactions and skipped rows of statement tables, with `error` null for transactions.
 
     Row 0 is the header and yields the column positions, one row per table. skip_zero also skips
-    zero amounts of debit/credit tables; short_rows reads missing cells as ''.
+    zero amounts of debit/credit tables; short_rows reads missing cells as ''; one_line turns line
+    breaks in the merchant into blanks. Rows of a table without header row are not recognised, and
+    a file missing from `years` only reads dates that give their year.
     """
     keys = ["file", "page", "table_no"]
     titles = F.transform("cells", lambda c: F.lower(trimmed(F.coalesce(c, L("")))))
@@ -132,7 +133,7 @@ def extract_cells(cells: DataFrame, years: DataFrame, skip_zero: bool = False,
         place.alias(f"at_{field}") for field, place in match_titles(C("titles")).items()])
     rows = (cells.filter(C("row_no") > 0)
             .withColumn("cells", F.transform("cells", lambda c: trimmed(F.coalesce(c, L("")))))
-            .join(columns, keys).join(years, "file"))
+            .join(columns, keys, "left").join(years, "file", "left"))
 
     def cell(field: str) -> Column:
         return F.coalesce(F.get("cells", C(f"at_{field}")), L(""))
@@ -146,7 +147,8 @@ def extract_cells(cells: DataFrame, years: DataFrame, skip_zero: bool = False,
     typed = computed_once(
         rows, usable.alias("usable"), too_short.alias("too_short"),
         has_split.alias("has_split"), first_line.alias("date_text"),
-        trimmed(F.replace(cell("merchant"), L("\n"), L(" "))).alias("merchant"),
+        trimmed(F.replace(cell("merchant"), L("\n"), L(" ")) if one_line else cell("merchant"))
+        .alias("merchant"),
         F.coalesce(parse_statement_amount(cell("debit")), L(0.0)).alias("debit"),
         F.coalesce(parse_statement_amount(cell("credit")), L(0.0)).alias("credit"),
         parse_statement_amount(cell("amount")).alias("single"))
@@ -177,13 +179,6 @@ def page_lines(words: DataFrame) -> DataFrame:
         .alias("text"))
 
 
-def header_text(words: DataFrame) -> DataFrame:
-    """Text of each file's first two pages."""
-    return (page_lines(words.filter(C("page") <= 2)).groupBy("file")
-            .agg(F.sort_array(F.collect_list(F.struct("page", "y", "text"))).alias("lines"))
-            .select("file", F.array_join("lines.text", "\n").alias("text")))
-
-
 def profile_number(text: Column) -> Column:
     """Number of the first layout any of whose phrases occurs in the text; null if none does."""
     upper = F.upper(text)
@@ -198,13 +193,21 @@ def profile_number(text: Column) -> Column:
 
 
 def detect_profile(words: DataFrame, as_of: date) -> DataFrame:
-    """(file, profile, recognised, year): the layout of a file, the first one by default."""
-    found = computed_once(header_text(words), profile_number(C("text")).alias("number"))
+    """(file, number, profile, recognised, year) of every file with words.
+
+    The earliest page with a phrase of any layout decides, the first layout by default; the year
+    is the file's first. A phrase lies within one line, so nothing is gathered per file.
+    """
+    lines = computed_once(page_lines(words), profile_number(C("text")).alias("hit"),
+                          first_year(C("text")).alias("found"))
+    first_hit = F.min(F.when(C("hit").isNotNull(), F.struct("page", "hit")))["hit"]
+    files = lines.groupBy("file").agg(first_hit.alias("number"), _year_at(
+        "found", as_of, "page", "y").alias("year"))
     names = F.array(*[L(name) for name, _, _ in LAYOUTS])
-    return found.select(
+    return files.select(
         "file", F.coalesce("number", L(0)).alias("number"),
         F.element_at(names, F.coalesce("number", L(0)) + 1).alias("profile"),
-        C("number").isNotNull().alias("recognised"), year_of(C("text"), as_of).alias("year"))
+        C("number").isNotNull().alias("recognised"), "year")
 
 
 def _range_type() -> str:

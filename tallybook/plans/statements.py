@@ -59,7 +59,7 @@ def _plain_parsed(s, d):
     """Every reader but the word-box one."""
     return cut_lineage(op.run_parsers({
         "pdfplumber_table": _cells(s, d),
-        "camelot_stream": _cells(s, d, skip_zero=True, short_rows=True),
+        "camelot_stream": _cells(s, d, skip_zero=True, short_rows=True, one_line=False),
         "pdfplumber_text": _lines(s, d),
         "tesseract": _lines(s, d, two_amounts=False, credit_words=None),
         "ofx_parser": op.scan_ofx(derived.ofx_files(s, d)),
@@ -78,7 +78,7 @@ QUERIES = {
         "file", "position", "transaction_type"),
     "p1_statement_lines": _lines,
     "p1_scanned_lines": lambda s, d: _lines(
-        s, d, two_amounts=False, credit_words=op.SCAN_CREDIT_WORDS),
+        s, d, credit_words=op.SCAN_CREDIT_WORDS),
     "p2_infer_year": lambda s, d: op.infer_year(src.statement_lines(s, d), AS_OF),
     "p3_statement_date": lambda s, d: src.statement_cells(s, d).select(
         "file", "row_no", F.posexplode("cells").alias("place", "cell")).select(
@@ -87,8 +87,9 @@ QUERIES = {
         "file", "row_no", F.posexplode("cells").alias("place", "cell")).select(
         "file", "row_no", "place", parse_statement_amount(C("cell")).alias("amount")),
     "p5_skip_row": lambda s, d: src.statement_lines(s, d).select(
-        "file", "line_no", op.skip_row(F.substring("text", L(8), F.length("text")))
-        .alias("skipped")),
+        # what follows the date of a dated line, else the whole line
+        "file", "line_no", op.skip_row(F.coalesce(
+            F.nullif(F.regexp_extract("text", op.LINE, 2), L("")), "text")).alias("skipped")),
     "p6_table_cells": _cells,
     "p7_word_boxes": _fixed,
     "p8_detect_profile": _profiles,

@@ -13,7 +13,7 @@ from tallybook.operators.dedup import assign_period
 from tallybook.operators.ingest import detect_period, normalise_rows
 from tallybook.operators.keywords import keyword_rules
 from tallybook.session import cut_lineage
-from tallybook.sources.csv_files import scan_csv
+from tallybook.sources.csv_files import literal_path, scan_csv
 from tallybook.sources.ledger_store import TableStore
 
 C, L = F.col, F.lit
@@ -35,7 +35,8 @@ def import_files(spark: SparkSession, paths: list[str], books: Books, token: str
                  user: Column | None = None, default_currency: str = "CAD") -> None:
     """Scan, suggest, de-duplicate and commit files as one upload per user.
 
-    A batch id depends on the token, so repeating an interrupted call adds nothing twice; files
+    A batch id depends on the token, so repeating a call adds no batch and no row twice (a ledger
+    write that broke off in the middle is the exception: the rest of its batch is not added). Files
     sent again later are recognised row by row by the duplicate rules.
     """
     scan = scan_csv(spark, paths, user)
@@ -49,13 +50,16 @@ def import_files(spark: SparkSession, paths: list[str], books: Books, token: str
         "notes": L(None).cast("string")})
     result = commit_import(upload, ledger, books.accounts.read(), categories, token=token)
     batches = cut_lineage(result.batches)
-    done = ledger.filter(C("import_batch_id").isNotNull()).select("import_batch_id")
+    # of the ledger only the upload's own few batch ids are asked for
+    own = batches.select(C("id").alias("import_batch_id"))
+    done = ledger.join(own, "import_batch_id", "left_semi").select("import_batch_id").distinct()
     new_rows = cut_lineage(result.new_rows.join(done, "import_batch_id", "left_anti"))
     new_accounts, new_categories = (
         cut_lineage(result.new_accounts), cut_lineage(result.new_categories))
     books.accounts.append(new_accounts)
     books.categories.append(new_categories)
-    books.batches.append(batches)
+    books.batches.append(batches.join(
+        books.batches.read().select("id"), "id", "left_anti"))
     books.ledger.append(new_rows)
 
 
@@ -74,7 +78,7 @@ def stream_import(spark: SparkSession, in_dir: str, books: Books, checkpoint: st
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         # at most files_per_batch names
-        paths = [r["path"] for r in batch.collect()]
+        paths = [literal_path(r["path"]) for r in batch.collect()]
         if paths:
             import_files(batch.sparkSession, paths, books, f"{name}-{batch_id}", user)
 

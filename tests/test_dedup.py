@@ -54,6 +54,24 @@ def test_import_twice_equals_import_once(spark):
     assert again.new_accounts.count() == 0 and again.new_categories.count() == 0
 
 
+def test_texts_that_differ_late_are_no_duplicates(spark):
+    long = "shop " * 80
+    rows = upload(spark, dict(merchant_name=long + "a"), dict(merchant_name=long + "b"),
+                  dict(merchant_name=long + "a"))
+    first = _commit(spark, rows, ledger(spark).limit(0))
+    assert sorted(r["merchant_name"][-1] for r in first.new_rows.collect()) == ["a", "b"]
+    books = ledger(spark, dict(merchant_name=long + "a"))
+    out = dedup.check_duplicates(rows, books, accounts(spark))
+    assert _flags(out) == [(True, False, True), (False, False, False), (True, True, False)]
+
+
+def test_files_with_long_names_are_batches_of_their_own(spark):
+    name = "s" * 300
+    rows = upload(spark, dict(source_file=name + "1"), dict(source_file=name + "2", amount=1.0))
+    names = {r["filename"] for r in _commit(spark, rows, ledger(spark).limit(0)).batches.collect()}
+    assert names == {name + "1", name + "2"}
+
+
 def test_excluded_row_claims_nothing_in_a_commit_but_does_in_a_check(spark):
     rows = upload(spark, dict(exclude=True), {})
     assert _commit(spark, rows, ledger(spark).limit(0)).new_rows.count() == 1

@@ -24,16 +24,17 @@ def _profile(spark, *texts):
 
 
 def test_chequing_header_wins_over_later_phrases(spark):
-    got = _profile(spark, "Royal Bank of Canada Your personal chequing",
-                   "From March 12, 2004 to April 12, 2004", "RBCPDA0001-123456789",
-                   "not already an RBC Royal Bank Online Banking")
-    assert got["profile"] == "RBC Chequing" and got["year"] == 2004
+    rank = {name: i for i, (name, _, _) in enumerate(schemas.LAYOUTS)}
+    phrase = {name: phrases[0] for name, phrases, _ in schemas.LAYOUTS}
+    early, late = sorted(("RBC Chequing", "Scotiabank"), key=rank.get)[:2]
+    got = _profile(spark, f"Page of {phrase[late]}", f"Issued 2011 by {phrase[early]}")
+    assert got["profile"] == early and got["year"] == 2011
 
 
 def test_card_header_wins_over_bank_footer(spark):
-    got = _profile(spark, "TD CASH BACK CARD", "STATEMENT DATE: February 13, 2026",
-                   "Chat with us on EasyWeb.td.com", "THE TORONTO-DOMINION BANK")
-    assert got["profile"] == "TD Visa" and got["recognised"]
+    name, phrases, _ = schemas.LAYOUTS[0]
+    got = _profile(spark, f"Your {phrases[0]} account", f"footer {schemas.LAYOUTS[1][1][0]}")
+    assert got["profile"] == name and got["recognised"]
 
 
 def test_unknown_header_takes_first_layout(spark):
@@ -41,6 +42,33 @@ def test_unknown_header_takes_first_layout(spark):
     assert got["profile"] == "TD Visa" and not got["recognised"] and got["year"] == 2026
 
 
+def test_layout_and_year_are_sought_on_every_page(spark):
+    name, phrases, _ = schemas.LAYOUTS[2]
+    far = [(1, 12, [(30, "cover")]), (3, 12, [(10 * i, w) for i, w in enumerate(
+        f"{phrases[0]} 2015".split())]), *[(3, 24 + 8 * i, [(30, "x" * 90)]) for i in range(30)]]
+    late = _words(spark, (3, 12, [(30, "word")]), file="b.pdf")
+    got = {r["file"]: r for r in op.detect_profile(
+        _words(spark, *far).unionByName(late), AS_OF).collect()}
+    assert (got["a.pdf"]["profile"], got["a.pdf"]["year"]) == (name, 2015)
+    assert not got["b.pdf"]["recognised"] and got["b.pdf"]["year"] == 2026
+
+
+def test_statement_that_starts_on_page_three(spark):
+    words = _words(spark, *[(3, 60 + 12 * i, [(36, "Jun"), (52, f"{5 + i:02d}"), (140, "SHOP"),
+                                              (320, amount)])
+                            for i, amount in enumerate(("1.00", "4.00"))])
+    got = op.read_statements(words, AS_OF).orderBy("y").collect()
+    assert [r["signed"] for r in got] == [1.0, 4.0]
+
+
+def test_year_and_lines_without_limits(spark):
+    lines = _lines(spark, "x" * 1500, *["filler"] * 1200, "since 2017",
+                   "Jun\u00a05\u00a0HARBOUR\u00a0BAKERY 4.00")
+    assert op.infer_year(lines, AS_OF).first()["year"] == 2017
+    got = op.extract_lines(lines, AS_OF).filter("error is null").collect()
+    assert [(r["signed"], r["transaction_date"]) for r in got] == [(4.0, day("2017-06-05"))]
+
+
 def _lines(spark, *texts):
     return spark.createDataFrame([("a.pdf", i, t) for i, t in enumerate(texts, 1)],
                                  schemas.STATEMENT_LINES)
@@ -94,6 +122,10 @@ def test_table_cells(spark):
         cells, years).orderBy("row_no").collect()]
     assert got[:2] == [("TIM HORTONS", 4.5, None), ("PAY", -9.0, None)]
     assert [g[2] for g in got[2:]] == ["bad date", "row too short"]
+    kept = op.extract_cells(cells, years, one_line=False).orderBy("row_no").first()
+    assert kept["merchant_name"] == "TIM\nHORTONS"
+    bare = op.extract_cells(cells.filter("row_no > 0"), years.limit(0))
+    assert {r["error"] for r in bare.collect()} == {"table not recognised"}
 
 
 def test_ofx(spark):

@@ -71,3 +71,23 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     for _ in range(2):
         import_files(spark, [str(tmp_path / "in")], books, "batch-0")
     assert books.ledger.read().count() == 2
+    assert [(r["imported_rows"], r["skipped_rows"]) for r in books.batches.read().collect()] == [
+        (2, 0)]
+
+
+def test_file_names_with_special_characters(spark, tmp_path):
+    names = ["stmt [1]", "50% off", "a+b{c}"]
+    _write(tmp_path, **{n: TWO for n in names})
+    scan = scan_csv(spark, [str(tmp_path)])
+    assert {r["source_file"] for r in scan.rows.collect()} == {f"{n}.csv" for n in names}
+    assert set(scan.headers) == {f"{n}.csv" for n in names}
+
+
+def test_crashed_versions_are_overwritten(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), schemas.ACCOUNTS)
+    rows = spark.createDataFrame([(1, None, "a", None, None)], schemas.ACCOUNTS)
+    for number in (1, 2):  # leftovers of a write that ended without its success mark
+        (tmp_path / "t" / f"v{number:06d}").mkdir(parents=True)
+    store.append(rows)
+    store.replace(rows.union(rows))
+    assert store.read().count() == 2
