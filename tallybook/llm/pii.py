@@ -1,15 +1,21 @@
 """PII: patterns, then information-theoretic sanitisation of terms that reveal what they found.
 
-Protected entities are the values found by the four patterns (email, ip, card, phone). A term is a
-word of three or more characters within `window` words of an entity. From the whole corpus come the
-numbers of documents that hold an entity, hold a term, and hold the term near the entity. The share
-of an entity's information that a term gives away is
-
-    PMI(entity; term) / IC(entity) = log(N * n_near / (n_entity * n_term)) / log(N / n_entity),
-
-1 when the term never occurs without the entity. Terms with a share of `disclosure` or more, seen
-near the entity in at least `support` different texts (copies count once), are marked next to
-the entity: as `term` spans, or in `sanitised` by generalisation ([NAME], [NUMBER]) or removal.
+Protected entities are the values found by the four patterns (email, ip, card, phone). Most values
+stand in one text only, so evidence is pooled: an entity is its value, its group (mail domain, first
+three parts of an ip, first six digits of a card, phone without its last four digits), its kind, and
+any entity at all. A term is a word of three or more characters within `window` words of an entity.
+From the whole corpus come the numbers of documents that hold an entity of a pool, hold a term, and
+hold the term near an entity of the pool. The share of the pool's information that a term gives away
+is
+
+    PMI(pool; term) / IC(pool) = log(p(pool | term) / p(pool)) / log(1 / p(pool)),
+    p(pool) = n_pool / N,  p(pool | term) = (n_near + p(pool)) / (n_term + 1),
+
+so a term counts as seen in one more document with the pool's own rate; for a value itself the plain
+p(value | term) = n_near / n_term is taken. Terms with a share of
+`disclosure` or more for a pool, seen near its entities in at least `support` different texts (copies
+count once), are marked next to these entities: as `term` spans, or in `sanitised` by generalisation
+([NAME], [NUMBER]) or removal.
 
 Scale: one pass finds patterns and the terms around them; only these few rows are shuffled.
 Documents per term are counted in a second pass by each task, for terms in a bit map of fixed size.
@@ -112,9 +118,23 @@ class Terms(dict):
 TERMS = Terms()
 
 
+def pools(kind: str, value: str) -> list[int]:
+    """Codes of the value (odd), its group, its kind and of any entity (even)."""
+    value = value.lower()
+    if kind == "ip":
+        value = ".".join(p.lstrip("0") or "0" for p in value.split("."))
+    elif kind != "email":
+        value = "".join(c for c in value if c.isascii() and c.isdigit())
+    group = {"email": value.partition("@")[2], "ip": value.rpartition(".")[0], "card": value[:6],
+             "phone": value[:-4]}[kind]
+    codes = (xxhash.xxh3_64_intdigest(x.encode()) & ~1 | own
+             for x, own in ((f"{kind}:{value}", 1), (f"{kind}/{group}", 0), (kind, 0), ("", 0)))
+    return [c - ((c >> 63) << 64) for c in codes]
+
+
 def context_terms(text: str, spans: list[tuple[str, int, int]],
                   window: int) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words around each span that touch no span."""
+    """(pool, term, start, end) of the words around each span that touch no span."""
     if not spans:
         return []
     at = [m.span() for m in WORD.finditer(text)]
@@ -124,15 +144,14 @@ def context_terms(text: str, spans: list[tuple[str, int, int]],
                             int(np.searchsorted(starts, e, "left")))}
     out = set()
     for kind, s, e in spans:
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[s:e].lower()}".encode())
-        entity -= (entity >> 63) << 64
+        own = pools(kind, text[s:e])
         first = int(np.searchsorted(starts, s, "right")) - 1
         last = int(np.searchsorted(starts, e, "left"))
         for i in range(max(0, first - window), min(len(at), last + window)):
             code = 0 if i in taken else TERMS[
                 text[at[i][0]:at[i][1]].encode("utf-8", "surrogatepass").lower()]
             if code:
-                out.add((entity, code, *at[i]))
+                out.update((pool, code, *at[i]) for pool in own)
     return sorted(out)
 
 
@@ -145,7 +164,7 @@ def scanned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("copy", pa.int64()),
                         *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()),
                         ("near", pa.list_(pa.struct([(n, pa.int64()) for n in (
-                            "entity", "term", "start", "end")])))])
+                            "pool", "term", "start", "end")])))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,14 +174,14 @@ def scanned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 "doc_id": b.column("doc_id"), "key": b.column("key"), "copy": b.column("copy"),
                 **{f"n_{k}": [c[k] for c in kinds] for k in KINDS},
                 "base": [joined(s) for _, s in found],
-                "near": [[dict(zip(("entity", "term", "start", "end"), x))
+                "near": [[dict(zip(("pool", "term", "start", "end"), x))
                           for x in context_terms(t, s, window)] for t, s in found]}, schema)
 
     return texts(docs).select("doc_id", _key().alias("key"), F.xxhash64("text").alias("copy"),
                               "text").mapInArrow(
         rows, "doc_id long, key long, copy long, n_email long, n_ip long, n_card long, "
               "n_phone long, base string, "
-              "near array<struct<entity: long, term: long, start: long, end: long>>")
+              "near array<struct<pool: long, term: long, start: long, end: long>>")
 
 
 def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -192,26 +211,27 @@ def documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
               disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs whose term gives away at least the share `disclosure` of the entity."""
+    """(pool, term) pairs whose term gives away at least the share `disclosure` of the pool."""
     near = found.select("key", "copy", F.explode("near").alias("x")).select(
-        "key", "copy", "x.entity", "x.term")
-    pairs = near.groupBy("entity", "term", "copy").agg(F.count_distinct("key").alias("n")) \
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("n_texts"))
+        "key", "copy", "x.pool", "x.term")
+    pairs = near.groupBy("pool", "term", "copy").agg(F.count_distinct("key").alias("n")) \
+        .groupBy("pool", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("n_texts"))
     pairs = stored(pairs.where(F.col("n_texts") >= support))
-    entities = near.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"))
+    own = near.groupBy("pool").agg(F.count_distinct("key").alias("n_pool"))
     terms = stored(pairs.select("term").distinct())
-    n = F.lit(float(max(1, found.count())))
-    ic = F.log(n / F.col("n_entity"))
-    pmi = F.log(n * F.col("n_near") / (F.col("n_entity") * F.col("n_term")))
-    return pairs.join(documents_with(docs, terms), "term").join(entities, "entity") \
-        .where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
+    rate = F.col("n_pool") / F.lit(float(max(1, found.count())))
+    more = F.when(F.col("pool").bitwiseAND(1) == 0, 1).otherwise(0)
+    given = (F.col("n_near") + more * rate) / (F.col("n_term") + more)
+    return pairs.join(documents_with(docs, terms), "term").join(own, "pool") \
+        .where((rate < 1) & (F.log(given / rate) >= -disclosure * F.log(rate))) \
+        .select("pool", "term")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
                disclosure: float = DISCLOSURE) -> DataFrame:
     """key, terms: the distinct spans of revealing terms of each row that has any."""
     near = found.select("key", F.explode("near").alias("x")).select("key", "x.*")
-    return near.join(revealing(docs, found, support, disclosure), ["entity", "term"]) \
+    return near.join(revealing(docs, found, support, disclosure), ["pool", "term"]) \
         .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 

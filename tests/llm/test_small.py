@@ -247,3 +247,17 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert all(r.exact for r in out) and 0 < len(out) < docs.count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_terms_are_judged_on_pooled_evidence(spark):
+    """A name beside four addresses, each in one text, and a word that stands everywhere."""
+    plain = [f"common words of text number{i} without anything else" for i in range(60)]
+    held = [f"common Zorblax mail person{i}@host{i}.org here" for i in range(4)]
+    once = ["common Onlyhere mail other@host9.org"]
+    docs = spark.createDataFrame(list(enumerate(plain + held + once)), "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in pii.private(docs).collect()}
+    for i, text in enumerate(held, len(plain)):
+        assert "term:7:14" in out[i].split(",") and "term:0:6" not in out[i], out[i]
+    assert not any(out[i] for i in range(len(plain)))
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all("Zorblax" not in t for t in clean.values())
