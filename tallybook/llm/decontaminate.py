@@ -3,9 +3,10 @@
 Fixed masks choose 6 of up to 10 neighbouring words; a word under a 0 may differ. Hashes of all
 masked windows of the benchmark are joined with those of the documents, each joint hash gives a
 diagonal (document position minus item position), and on a diagonal the item is laid over the whole
-document: of all its stretches the one with the best score (1 for an equal word, -2 for another) is
-kept. A document holds an item when the stretch has at least `min_matches` equal words (of shorter
-items: four fifths of the words) and `identity` of its words are equal.
+document. A document holds an item when any stretch of a diagonal has at least `min_matches` equal
+words (of shorter items: four fifths of the words) and `identity` of its words are equal. Reported is
+the stretch with the best score (1 for an equal word, -2 for another) or, where that one falls short,
+the stretch with the most equal words among all whose words are equal to the share of `identity`.
 
 Scale: a bit map of fixed size (8 MB) of the benchmark's hashes goes to every task, and only
 hashes that hit it are shuffled; the exact join removes what hit by chance. Texts are read again for
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import MAP_BITS, MIX, batch, bit_map, mixed, prepared, stored, texts, word_codes, words
 
-MASKS = ("111111", "1110111", "1111011", "1101111", "11011011", "1010110101")
+MASKS = ("111111", "1110111", "1111011", "1101111", "11011011", "1010110101", "1111101")
 SENT_KEYS = 1_000_000  # keys (8 MB) sent to every executor at most
 MIN_MATCHES = 12
 IDENTITY = 0.75
@@ -60,15 +61,40 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return int(equal[start:end + 1].sum()), low + diagonal + start, end + 1 - start
 
 
+def longest_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int,
+                    identity: float) -> tuple[int, int, int]:
+    """Like best_stretch, of the stretch with the most equal words among those of this identity.
+
+    For every end, the earliest start with the identity has the most equal words.
+    """
+    low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+    if low >= high:
+        return 0, 0, 0
+    equal = doc[low + diagonal:high + diagonal] == item[low:high]
+    n_equal = np.concatenate([[0], np.cumsum(equal)])
+    over = np.round(n_equal - identity * np.arange(len(n_equal)), 6)
+    first = np.searchsorted(-np.minimum.accumulate(over), -over)
+    end = int(np.argmax(n_equal - n_equal[first]))
+    inside = np.flatnonzero(equal[first[end]:end]) + first[end]
+    if not len(inside):
+        return 0, 0, 0
+    start, last = int(inside[0]), int(inside[-1])
+    return len(inside), low + diagonal + start, last + 1 - start
+
+
 def judged(doc: np.ndarray, item: np.ndarray, diagonals, min_matches: int = MIN_MATCHES,
            identity: float = IDENTITY) -> tuple[int, int, int] | None:
-    """The best stretch of all diagonals if it makes the item held by the document."""
+    """The best of the stretches, of any diagonal, that make the item held by the document."""
     if len(item) < MASKS[0].count("1"):
         return None
-    found = [best_stretch(doc, item, d) for d in diagonals]
-    equal, start, n = max(found, key=lambda x: (x[0], -x[1]), default=(0, 0, 0))
     need = min(min_matches, -(-4 * len(item) // 5))
-    return (equal, start, n) if equal >= need and equal >= identity * n else None
+
+    def holds(stretch: tuple[int, int, int]) -> bool:
+        return stretch[0] >= need and stretch[0] >= identity * stretch[2]
+
+    found = [s for d in diagonals if holds(s := best_stretch(doc, item, d))
+             or holds(s := longest_stretch(doc, item, d, identity))]
+    return max(found, key=lambda x: (x[0], -x[1]), default=None)
 
 
 def _key() -> Column:

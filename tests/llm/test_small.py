@@ -261,3 +261,29 @@ def test_terms_are_judged_on_pooled_evidence(spark):
     assert not any(out[i] for i in range(len(plain)))
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert all("Zorblax" not in t for t in clean.values())
+
+
+def test_items_with_few_substitutions_are_held_wherever_these_lie():
+    for n in range(15, 21):
+        item = np.arange(1, n + 1).astype(np.uint64)
+        own = list(decontaminate.masked_hashes(item))
+        for places in itertools.chain.from_iterable(
+                itertools.combinations(range(n), k) for k in (1, 2, 3)):
+            doc = item.copy()
+            doc[list(places)] += np.uint64(1000)
+            assert any((a == b).any() for a, b in zip(own, decontaminate.masked_hashes(doc))), places
+            equal, start, words = decontaminate.judged(doc, item, [0])
+            assert equal >= 12 and equal == int((doc == item)[start:start + words].sum())
+
+
+def test_the_stretch_of_an_identity_has_the_most_equal_words():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        item, doc = (rng.integers(0, 3, n).astype(np.uint64) for n in rng.integers(1, 25, 2))
+        diagonal, identity = int(rng.integers(-5, 15)), float(rng.choice([0.75, 0.8, 0.9]))
+        low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        same = [int(doc[i + diagonal] == item[i]) for i in range(low, high)]
+        want = max((sum(same[a:b]) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+                    if sum(same[a:b]) >= identity * (b - a)), default=0)
+        equal, start, n = decontaminate.longest_stretch(doc, item, diagonal, identity)
+        assert equal == want and equal >= identity * n
