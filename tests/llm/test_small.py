@@ -287,3 +287,22 @@ def test_the_stretch_of_an_identity_has_the_most_equal_words():
                     if sum(same[a:b]) >= identity * (b - a)), default=0)
         equal, start, n = decontaminate.longest_stretch(doc, item, diagonal, identity)
         assert equal == want and equal >= identity * n
+
+
+def test_terms_are_marked_wherever_they_stand_in_texts_with_the_entity(spark):
+    """A name that never stands within eight words of the address, and stands twice in one text."""
+    fill = " ".join(f"filler{i}" for i in range(20))
+    plain = [f"{fill} common mail number{i}" for i in range(60)]
+    held = [f"Zorblax {fill} mail person{i}@host{i}.org {fill} (Zorblax)" for i in range(4)]
+    rows = list(enumerate(plain + held + held[:1])) + [(60, held[0]), (None, held[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.private(docs).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.n_email:
+            end = max(len(t) for t in held)
+            assert r.spans.split(",")[1:] == ["term:0:7", f"term:{end - 9}:{end}"], r.spans
+        else:
+            assert r.spans == ""
+    clean = pii.sanitised(docs).collect()
+    assert len(clean) == len(rows) and not any("Zorblax" in r.text for r in clean)
