@@ -1,9 +1,11 @@
 """Chat formatting: schema fingerprints select the mapping to canonical turns; a reversible template.
 
 A layout is known by the hash of its nested field paths. `MAPPINGS` says declaratively, per layout,
-where roles and texts lie; `canonical_turns` picks the mapping of a table by the fingerprint of its
-schema and `canonical_json` that of every JSON record by the fingerprint of its own paths. Paths
-no layout names (extra columns) are no part of a fingerprint.
+where roles and texts lie; `canonical_turns` picks the mapping of a table by its schema and
+`canonical_json` that of every JSON record by its own paths: the first layout of `MAPPINGS` whose paths
+are all there, so rows come before records and instruction_input before instruction. All other paths
+are extra columns. A path of a record is there when its key is, also with a null, and within a list
+when any element has the key.
 
 The template writes a turn as `### role: text</turn>` and a line feed. Backslash, `###` and `</turn>`
 in texts (in roles also `:`) are written as codes of a backslash and one letter, so control strings
@@ -35,10 +37,10 @@ MAPPINGS = {
                         "turns": [("user", ["prompt"]), ("assistant", ["response"])]},
     "prompt_completion": {"paths": ["completion", "prompt"],
                           "turns": [("user", ["prompt"]), ("assistant", ["completion"])]},
-    "instruction": {"paths": ["instruction", "output"],
-                    "turns": [("user", ["instruction"]), ("assistant", ["output"])]},
     "instruction_input": {"paths": ["input", "instruction", "output"],
                           "turns": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    "instruction": {"paths": ["instruction", "output"],
+                    "turns": [("user", ["instruction"]), ("assistant", ["output"])]},
 }
 PATHS = sorted({p for m in MAPPINGS.values() for p in m["paths"]})
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -64,14 +66,12 @@ def schema_paths(kind: DataType, above: str = "") -> list[str]:
 
 
 def layout_of(schema: StructType) -> str:
-    """The layout of a table; ValueError where no mapping has its fingerprint."""
+    """The layout of a table; ValueError where no mapping has its paths."""
     known = [p for p in schema_paths(schema) if p in PATHS]
-    nested = [p for p in known if p not in MAPPINGS["rows"]["paths"]]
-    known = nested or known  # columns of rows beside a record's own fields are extra columns
-    name = LAYOUTS.get(fingerprint(known))
-    if name is None:
-        raise ValueError(f"no mapping for the fields {known}")
-    return name
+    for name, m in MAPPINGS.items():
+        if LAYOUTS.get(fingerprint([p for p in known if p in m["paths"]])) == name:
+            return name
+    raise ValueError(f"no mapping for the fields {known}")
 
 
 def _role(role: Column) -> Column:
@@ -117,12 +117,16 @@ def canonical_json(table: DataFrame, column: str = "record", conv_id: str = "con
     v = F.try_parse_json(column)
     rows = table.select(F.col(conv_id).cast("long").alias("conv_id"), v.alias("v"))
 
-    def held(path: str) -> Column:
-        at = "$." + path.replace("[]", "[0]")
-        return F.when(F.try_variant_get("v", at, "string").isNotNull(), F.lit(path))
+    def elements(field: str) -> Column:
+        return F.try_variant_get("v", f"$.{field}", "array<variant>")
 
-    paths = F.array_compact(F.array(*(held(p) for p in PATHS if p not in MAPPINGS["rows"]["paths"])))
-    rows = rows.withColumn("print", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256))
+    def held(path: str) -> Column:
+        """The path where its key is there; a JSON null is a variant, not a null column."""
+        field, _, key = path.partition("[].")
+        there = F.exists(elements(field), lambda m: F.try_variant_get(m, f"$.{key}", "variant")
+                         .isNotNull()) if key else F.try_variant_get(
+            "v", f"$.{path}", "variant").isNotNull()
+        return F.when(there, F.lit(path))
 
     def text(path: str) -> Column:
         return F.try_variant_get("v", "$." + path, "string")
@@ -133,14 +137,15 @@ def canonical_json(table: DataFrame, column: str = "record", conv_id: str = "con
             continue
         if "list" in m:
             field, role, body = m["list"]
-            given = F.try_variant_get("v", f"$.{field}", f"array<struct<`{role}`:string,"
-                                                         f"`{body}`:string>>")
+            given = F.transform(elements(field), lambda m: F.struct(*(
+                F.try_variant_get(m, f"$.{k}", "string").alias(k) for k in (role, body))))
             made = _listed(given, role, body)
         else:
             made = _pairs([(r, [text(f) for f in fs]) for r, fs in m["turns"]])
-        own = F.col("print") == fingerprint(m["paths"])
+        own = F.sha2(F.array_join(F.array_compact(F.array(*(held(p) for p in sorted(m["paths"])))),
+                                  "\n"), 256) == fingerprint(m["paths"])
         turns = F.when(own, made) if turns is None else turns.when(own, made)
-        layout = F.when(own, F.lit(name)).otherwise(layout)
+        layout = F.coalesce(layout, F.when(own, F.lit(name)))
     return rows.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns)
                        .alias("turn", "m")).select(
         "conv_id", "layout", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")

@@ -306,3 +306,31 @@ def test_terms_are_marked_wherever_they_stand_in_texts_with_the_entity(spark):
             assert r.spans == ""
     clean = pii.sanitised(docs).collect()
     assert len(clean) == len(rows) and not any("Zorblax" in r.text for r in clean)
+
+
+def test_chat_layouts_with_clashing_columns_and_null_fields(spark):
+    rows = "conv_id long, turn long, role string, text string"
+    for extra in ("prompt string, response string", "prompt string", "input string",
+                  "output string", "messages array<struct<role:string,content:string>>"):
+        table = spark.createDataFrame([(1, 0, "user", "hello") + (None,) * (extra.count(" string, ") + 1)],
+                                      f"{rows}, {extra}")
+        assert [tuple(r) for r in chat.canonical_turns(table).collect()] == [(1, 0, "user", "hello")]
+    records = ['{"prompt":"p","response":null}',
+               '{"messages":[{"role":"user","content":null},{"role":"assistant","content":"r"}]}',
+               '{"messages":[{"role":"user"},{"role":"assistant","content":"r"},"odd"]}',
+               '{"prompt":"p","response":"r","output":"o"}',
+               '{"instruction":"i","input":null,"output":"o"}',
+               '{"instruction":"i","output":"o","prompt":null}', '{"prompt":null}']
+    out = chat.canonical_json(spark.createDataFrame(list(enumerate(records)),
+                                                    "conv_id long, record string")).collect()
+    got = [(r.layout, [(x.role, x.text) for x in sorted(out, key=lambda x: x.turn or 0)
+                       if x.conv_id == i]) for i in range(len(records))
+           for r in [next(x for x in out if x.conv_id == i)]]
+    assert got == [
+        ("prompt_response", [("user", "p"), ("assistant", "")]),
+        ("messages", [("user", ""), ("assistant", "r")]),
+        ("messages", [("user", ""), ("assistant", "r"), ("", "")]),
+        ("prompt_response", [("user", "p"), ("assistant", "r")]),
+        ("instruction_input", [("user", "i"), ("assistant", "o")]),
+        ("instruction", [("user", "i"), ("assistant", "o")]),
+        (None, [(None, None)])]
