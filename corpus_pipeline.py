@@ -54,7 +54,7 @@ STAGES = [
     ("sentencepiece", as_pieces),
 ]
 
-ORACLE_SQL = None  # classifier, sketches and piece search have no SQL; tests use brute force
+ORACLE_SQL = None  # classifier, sketches and piece search have no SQL; run() has no brute force either
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -334,3 +335,51 @@ def test_chat_layouts_with_clashing_columns_and_null_fields(spark):
         ("instruction_input", [("user", "i"), ("assistant", "o")]),
         ("instruction", [("user", "i"), ("assistant", "o")]),
         (None, [(None, None)])]
+
+
+def test_decontamination_against_all_stretches_of_all_diagonals(spark):
+    rng = np.random.default_rng(5)
+    items = [[f"i{n}w{k}" for k in range(int(rng.integers(15, 26)))] for n in range(8)]
+    docs = []
+    for n in range(40):
+        own = list(items[n % 8])
+        for k in rng.choice(len(own), int(rng.integers(0, 8)), replace=False):
+            own[k] = f"x{n}y{k}"
+        before, after = ([f"d{n}f{k}" for k in range(int(c))] for c in rng.integers(0, 12, 2))
+        docs.append(before + own[int(rng.integers(0, 4)):] + after)
+    want = set()
+    for (d, doc), (i, item) in itertools.product(enumerate(docs), enumerate(items)):
+        need = min(12, -(-4 * len(item) // 5))
+        for diagonal in range(-len(item) + 1, len(doc)):
+            same = [doc[k + diagonal] == item[k] for k in range(len(item))
+                    if 0 <= k + diagonal < len(doc)]
+            if any(sum(same[a:b]) >= need and 4 * sum(same[a:b]) >= 3 * (b - a)
+                   for a in range(len(same)) for b in range(a + 1, len(same) + 1)):
+                want.add((d, i))
+    out = decontaminate.contaminated(
+        spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id long, text string"))
+    assert 0 < len(want) < 40 and {(r.doc_id, r.item_id) for r in out.collect()} == want
+
+
+def test_personal_data_against_plain_patterns(spark, sf_dir):
+    def plain(text):
+        def digits(m):
+            return re.sub("[^0-9]", "", m[0])
+
+        def valid(number):
+            twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(number))]
+            return 13 <= len(number) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+
+        return (
+            len(re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)),
+            sum(all(int(p) <= 255 for p in m[0].split("."))
+                for m in re.finditer(r"[0-9]+(?:\.[0-9]+){3}", text)),
+            sum(valid(digits(m)) for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text)),
+            sum(9 <= len(digits(m)) <= 15 for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", text)))
+
+    docs = corpus_pipeline.table(spark, sf_dir, "documents")
+    want = {r.doc_id: plain(r.text or "") for r in docs.collect()}
+    out = pii.private(docs).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in out} == want
+    assert all(map(any, zip(*want.values())))
