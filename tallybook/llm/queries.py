@@ -1,9 +1,9 @@
-"""The registered queries of the ten operators and their DuckDB texts."""
+"""The registered queries of the operators and their DuckDB texts."""
 
 from __future__ import annotations
 
 from tallybook.llm import (chat, context_tree, decontaminate, forest, near_dedup, pii, quality,
-                           token_files, toxicity, unigram)
+                           token_files, toxicity, unigram, voronoi)
 from tallybook.llm.common import table
 
 QUERIES = {
@@ -20,9 +20,11 @@ QUERIES = {
     "op8_context_tree": lambda s, d: context_tree.scored(table(s, d, "documents")),
     "op9_token_files": lambda s, d: token_files.token_output(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "labels")),
+    "op12_voronoi": lambda s, d: voronoi.top_products(table(s, d, "embeddings")),
 }
 
 SQL = {
     "op2_near_dedup": near_dedup.SQL,
     "op4_chat": chat.SQL,
+    "op12_voronoi": voronoi.SQL,
 }
