@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallybook.llm import (chat, context_tree, decontaminate, forest, near_dedup, pii, quality,
-                           token_files, toxicity, unigram, voronoi)
+from tallybook.llm import (alignment, chat, context_tree, decontaminate, forest, near_dedup, pii,
+                           quality, token_files, toxicity, unigram, variants, voronoi)
 from tallybook.llm.common import table
 
 QUERIES = {
@@ -20,11 +20,14 @@ QUERIES = {
     "op8_context_tree": lambda s, d: context_tree.scored(table(s, d, "documents")),
     "op9_token_files": lambda s, d: token_files.token_output(table(s, d, "documents")),
     "op10_quality": lambda s, d: quality.quality(table(s, d, "documents"), table(s, d, "labels")),
+    "op11_variants": lambda s, d: variants.spelling_variants(table(s, d, "documents")),
     "op12_voronoi": lambda s, d: voronoi.top_products(table(s, d, "embeddings")),
+    "op13_alignment": lambda s, d: alignment.alignment(table(s, d, "documents")),
 }
 
 SQL = {
     "op2_near_dedup": near_dedup.SQL,
     "op4_chat": chat.SQL,
+    "op11_variants": variants.SQL,
     "op12_voronoi": voronoi.SQL,
 }
