@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +123,11 @@ KEPT_PIECES = 500_000
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \xa0"
 PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+"
                     rf"| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+# A character for every byte of a byte-level vocabulary: visible ones stand for themselves, the
+# others for the next code points from 256.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in VISIBLE} | {
+    b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 
 
 class Encoder:
@@ -129,14 +135,17 @@ class Encoder:
 
     Byte-level vocabularies never merge across the pieces their pattern splits a text into, so a
     text's ids are those of its pieces. Only texts below U+0250 without the control characters that
-    regex libraries class differently, and without special tokens, are split here; all other texts
-    and all other kinds of vocabulary go to the library whole.
+    regex libraries class differently, and without special tokens, are split here, and the library's
+    model encodes each new piece; all other texts and all other kinds of vocabulary go to the
+    library whole. `specials` false takes special tokens in a text as text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not specials
+        self.model = self.library.model
         kind = json.loads(self.library.to_str())
         split = kind.get("pre_tokenizer") or {}
         self.byte_level = (kind.get("normalizer") is None and split.get("type") == "ByteLevel"
@@ -150,6 +159,11 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes()
                 for x in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
+    def _encode_piece(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return array("I", [t.id for t in self.model.tokenize(
+            plain.translate(BYTE_LEVEL))]).tobytes()
+
     def encode(self, found: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
         alone = [not self.byte_level or bool(self.whole.search(t)) for t in found]
@@ -158,7 +172,7 @@ class Encoder:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         new = list({w for row in split if row for w in row if w not in self.kept})
-        self.kept.update(zip(new, self._encode(new)))
+        self.kept.update(zip(new, map(self._encode_piece, new)))
         return [np.frombuffer(next(whole) if row is None
                               else b"".join(map(self.kept.__getitem__, row)), "<u4")
                 for row in split]
