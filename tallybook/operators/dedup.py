@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions.joins import null_safe_join
+from tallybook.functions.joins import null_safe_join, one_per_key
 from tallybook.functions.money import to_cents, to_ten_thousandths
 from tallybook.functions.text import (
     blank_to_null, collapsed_lower, computed_once, contains_any, digits_only, trimmed,
@@ -182,12 +182,16 @@ def _row_probes(keyed: DataFrame) -> DataFrame:
     return keyed.select("row_idx", "user_id", F.inline(F.array_compact(probes)))
 
 
-def _ledger_probes(ledger: DataFrame) -> DataFrame:
-    """Every key under which a stored row can be found."""
+def ledger_keys(ledger: DataFrame) -> DataFrame:
+    """Every key under which a stored row can be found, with the row's id.
+
+    Kept beside the ledger as a table by month of `day` (LEDGER_KEYS), an upload meets it without
+    reading or normalising a ledger row.
+    """
     merchant = collapsed_lower(C("merchant_name"))
     kind = F.concat_ws(_SEPARATOR, "currency", "transaction_type")
     narrow = computed_once(
-        ledger.select("user_id", "account_id", "transaction_date", "posted_date",
+        ledger.select("id", "user_id", "account_id", "transaction_date", "posted_date",
                       "reference_number", "merchant_name", "merchant_city", "merchant_state",
                       "merchant_country", "mcc_description", "amount", "currency",
                       "transaction_type"),
@@ -212,19 +216,27 @@ def _ledger_probes(ledger: DataFrame) -> DataFrame:
         F.when(known & day.isNotNull(), _probe("exact", account, day, exact_text, amount)),
         # for rows whose account is not known: any account will do
         F.when(day.isNotNull(), _probe("exact", L(None), day, exact_text, amount)))
-    return narrow.select("user_id", F.inline(F.array_compact(probes)))
+    return narrow.select("id", "user_id", F.inline(F.array_compact(probes)))
 
 
-def ledger_duplicates(keyed: DataFrame, ledger: DataFrame) -> DataFrame:
+def ledger_duplicates(keyed: DataFrame, ledger: DataFrame,
+                      keys: DataFrame | None = None) -> DataFrame:
     """row_idx of rows the ledger already holds.
 
-    Both sides are turned into equality keys (the either-date rule becomes one key per date). The
-    ledger is read once and reduced to keys the upload asks for: map-side when the upload is
-    small enough to broadcast, else by a shuffle on the key.
+    Both sides are turned into equality keys (the either-date rule becomes one key per date).
+    `keys` is the stored form of ledger_keys(ledger) with its month `ym`: only the months of the
+    upload's days are read (a short text per month goes through the driver). Without it the ledger
+    is read once. Either way it is reduced to keys the upload asks for: map-side when the upload
+    is small enough to broadcast, else by a shuffle on the key.
     """
     probes = _row_probes(keyed)
     asked = probes.select(*_PROBE).distinct()
-    held = null_safe_join(_ledger_probes(ledger), asked, list(_PROBE), "left_semi").distinct()
+    if keys is None:
+        keys = ledger_keys(ledger)
+    else:
+        months = asked.select(F.date_format("day", "yyyy-MM").alias("ym")).distinct().collect()
+        keys = keys.filter(C("ym").isin([r["ym"] for r in months]))
+    held = null_safe_join(keys.select(*_PROBE), asked, list(_PROBE), "left_semi").distinct()
     return null_safe_join(probes, held, list(_PROBE), "left_semi").select("row_idx").distinct()
 
 
@@ -236,15 +248,17 @@ def keyed_upload(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     return null_safe_join(keyed, known, ["user_id", "card"])
 
 
-def check_duplicates(rows: DataFrame, ledger: DataFrame, accounts: DataFrame) -> DataFrame:
+def check_duplicates(rows: DataFrame, ledger: DataFrame, accounts: DataFrame,
+                     keys: DataFrame | None = None) -> DataFrame:
     """Upload rows with duplicate, duplicate_in_import, duplicate_in_database, card filled in.
 
     All rows take part, excluded ones too; a repeat within the upload is not looked up again.
+    `keys`: the ledger's stored keys, see ledger_duplicates.
     """
     keyed = cut_lineage(keyed_upload(rows, accounts))
     repeats = cut_lineage(batch_duplicates(keyed, C("card")))
     firsts = keyed.join(repeats, "row_idx", "left_anti")
-    stored = ledger_duplicates(firsts, ledger)
+    stored = ledger_duplicates(firsts, ledger, keys)
     flags = (repeats.select("row_idx", L(True).alias("in_import"))
              .unionByName(stored.select("row_idx", L(False).alias("in_import"))))
     cards = keyed.select("row_idx", "ref", "card")
@@ -265,10 +279,12 @@ def check_duplicates(rows: DataFrame, ledger: DataFrame, accounts: DataFrame) ->
 def default_exclude(checked: DataFrame, previous: DataFrame) -> DataFrame:
     """Exclusion after a re-check: new duplicates are excluded, known ones keep their choice.
 
-    previous(row_idx, duplicate, exclude) is the state before.
+    previous(row_idx, duplicate, exclude) is the state before; of several states of one row the
+    greatest counts.
     """
-    before = previous.select("row_idx", C("duplicate").alias("was_duplicate"),
-                             C("exclude").alias("was_excluded"))
+    before = one_per_key(previous.select(
+        "row_idx", C("duplicate").alias("was_duplicate"), C("exclude").alias("was_excluded")),
+        ["row_idx"])
     kept = F.when(F.coalesce("was_duplicate", L(False)),
                   F.coalesce("was_excluded", L(False))).otherwise(True)
     return checked.join(before, "row_idx", "left").withColumn(
@@ -279,12 +295,15 @@ def default_exclude(checked: DataFrame, previous: DataFrame) -> DataFrame:
 def assign_period(rows: DataFrame, detected: DataFrame, chosen: DataFrame) -> DataFrame:
     """import_month and import_year per file: a valid chosen period, else the detected one.
 
-    detected and chosen: (user_id, source_file, month, year).
+    detected and chosen: (user_id, source_file, month, year); of several of one file the latest
+    counts.
     """
-    valid = chosen.filter(C("month").between(1, 12) & C("year").between(2000, 2100)).select(
-        "user_id", "source_file", C("month").alias("chosen_month"),
-        C("year").alias("chosen_year"))
-    periods = null_safe_join(detected, valid, ["user_id", "source_file"]).select(
+    key = ["user_id", "source_file"]
+    valid = one_per_key(chosen.filter(
+        C("month").between(1, 12) & C("year").between(2000, 2100)).select(
+        *key, C("year").alias("chosen_year"), C("month").alias("chosen_month")), key)
+    found = one_per_key(detected.select(*key, "year", "month"), key)
+    periods = null_safe_join(found, valid, key).select(
         "user_id", "source_file", F.coalesce("chosen_month", "month").alias("import_month"),
         F.coalesce("chosen_year", "year").alias("import_year"))
     base = rows.drop("import_month", "import_year")

@@ -17,7 +17,8 @@ TOKEN = "registered"
 
 def _checked(s, d):
     rows = good_rows(s, d).withColumn("exclude", C("row_idx") % 30 == 0)
-    return op.check_duplicates(rows, derived.ledger(s, d), derived.accounts(s, d))
+    return op.check_duplicates(rows, derived.ledger(s, d), derived.accounts(s, d),
+                               derived.ledger_keys(s, d))
 
 
 def _keyed(s, d):
@@ -47,7 +48,8 @@ def _commit(s, d):
     # the ledger a commit meets lacks half of the accounts
     known = derived.accounts(s, d).filter(C("id") % 2 == 0)
     return commit_op.commit_import(
-        _upload(s, d), derived.ledger(s, d), known, derived.categories(s, d), token=TOKEN)
+        _upload(s, d), derived.ledger(s, d), known, derived.categories(s, d), token=TOKEN,
+        keys=derived.ledger_keys(s, d))
 
 
 def _imported(s, d):
@@ -90,9 +92,9 @@ QUERIES = {
         "user_id", "card", "account_id"),
     "d7_batch_duplicates": lambda s, d: op.batch_duplicates(_keyed(s, d), C("card")),
     "d8_ledger_duplicates": lambda s, d: op.ledger_duplicates(
-        _keyed(s, d), derived.ledger(s, d)),
+        _keyed(s, d), derived.ledger(s, d), derived.ledger_keys(s, d)),
     "d9_interest_duplicates": lambda s, d: op.ledger_duplicates(
-        _keyed(s, d).filter("interest_like"), derived.ledger(s, d)),
+        _keyed(s, d).filter("interest_like"), derived.ledger(s, d), derived.ledger_keys(s, d)),
     "d10_check_duplicates": lambda s, d: _checked(s, d).select(
         "row_idx", "reference_number", "card_number_masked", "exclude", "duplicate",
         "duplicate_in_import", "duplicate_in_database"),

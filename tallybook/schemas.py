@@ -34,6 +34,9 @@ IMPORT_BATCHES = _table(
     id=_S, user_id=_S, filename=_S, month=_I, year=_I, total_rows=_L, imported_rows=_L,
     skipped_rows=_L,
 )
+# what an import could not take, and the stored keys under which ledger rows are found again
+REJECTS = _table(token=_S, user_id=_S, source_file=_S, row_idx=_L, message=_S)
+LEDGER_KEYS = _table(id=_L, user_id=_S, kind=_S, account=_L, day=_D, text=_S, amount_key=_L)
 APP_SETTINGS = _table(user_id=_S, default_currency=_S)
 STATEMENT_LINES = _table(file=_S, line_no=_I, text=_S)
 STATEMENT_CELLS = _table(

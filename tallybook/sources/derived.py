@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.money import cents_text, to_cents
+from tallybook.operators import dedup
+from tallybook.schemas import LEDGER_KEYS
 from tallybook.session import shared_folder
+from tallybook.sources.ledger_store import TableStore
 
 C, L = F.col, F.lit
 
@@ -373,3 +376,14 @@ def ofx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(C("l_orderkey") % 2 == 0, "<CURDEF>USD\n").otherwise(""),
                     F.array_join("blocks.block", "\n"), L("\n</STMTRS></OFX>"))
                 .alias("content")))
+
+
+def ledger_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's duplicate keys, stored by month as an import keeps them."""
+    key = (spark.sparkContext.applicationId, sf_dir, "ledger_keys")
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/derived-{uuid.uuid4().hex}/ledger_keys"
+        TableStore(spark, path, LEDGER_KEYS, "day").append(dedup.ledger_keys(
+            ledger(spark, sf_dir)))
+        _WRITTEN[key] = (path, LEDGER_KEYS)
+    return TableStore(spark, _WRITTEN[key][0], LEDGER_KEYS, "day").read()

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallybook import schemas
 from tallybook.operators.commit import commit_import
-from tallybook.operators.dedup import assign_period
-from tallybook.operators.ingest import detect_period, normalise_rows
+from tallybook.operators.dedup import assign_period, ledger_keys
+from tallybook.operators.ingest import (
+    detect_period, parse_cells, split_errors, suggest_category,
+)
 from tallybook.operators.keywords import keyword_rules
 from tallybook.session import cut_lineage
 from tallybook.sources.csv_files import literal_path, scan_csv
-from tallybook.sources.ledger_store import TableStore
+from tallybook.sources.ledger_store import TableStore, new_batch, publish
 
 C, L = F.col, F.lit
 
@@ -23,44 +27,89 @@ FILE_LISTING = "path string, modificationTime timestamp, length long, content bi
 
 @dataclass(frozen=True)
 class Books:
-    """The stored tables an import reads and extends."""
+    """The stored tables an import reads and extends, all in one folder.
+
+    `keys` holds the ledger's duplicate keys and `rejects` what an import could not take.
+    """
 
     ledger: TableStore
     accounts: TableStore
     categories: TableStore
     batches: TableStore
+    keys: TableStore
+    rejects: TableStore
+
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> Books:
+        return cls(TableStore(spark, f"{folder}/ledger", schemas.LEDGER, "transaction_date"),
+                   TableStore(spark, f"{folder}/accounts", schemas.ACCOUNTS),
+                   TableStore(spark, f"{folder}/categories", schemas.CATEGORIES),
+                   TableStore(spark, f"{folder}/batches", schemas.IMPORT_BATCHES),
+                   TableStore(spark, f"{folder}/keys", schemas.LEDGER_KEYS, "day"),
+                   TableStore(spark, f"{folder}/rejects", schemas.REJECTS))
+
+    def tables(self) -> list[TableStore]:
+        return [getattr(self, f.name) for f in fields(self)]
+
+    def open_with(self, ledger: DataFrame, accounts: DataFrame, categories: DataFrame) -> None:
+        """First rows of the books."""
+        self.accounts.append(accounts)
+        self.categories.append(categories)
+        self.keys.append(ledger_keys(ledger))
+        self.ledger.append(ledger)
+
+    def change(self, ids: DataFrame, update: Callable[[DataFrame], DataFrame]) -> None:
+        """Ledger rows named by ids(id) replaced by update(rows), and their keys with them.
+
+        Only the months those rows leave or enter are rewritten. `update` must give the same again
+        when the change is repeated after it broke off.
+        """
+        self.ledger.change(ids, update)
+        now = self.ledger.read().join(ids.select("id").distinct(), "id", "left_semi")
+        self.keys.change(ids, lambda _: ledger_keys(now))
 
 
 def import_files(spark: SparkSession, paths: list[str], books: Books, token: str,
                  user: Column | None = None, default_currency: str = "CAD") -> None:
     """Scan, suggest, de-duplicate and commit files as one upload per user.
 
-    A batch id depends on the token, so repeating a call adds no batch and no row twice (a ledger
-    write that broke off in the middle is the exception: the rest of its batch is not added). Files
-    sent again later are recognised row by row by the duplicate rules.
+    All tables are written under a new batch name, which is published last: an import that broke
+    off anywhere left nothing that readers see, and repeating it does it whole. A token that is
+    published adds nothing more. Files without a known header and rows that could not be read are
+    kept in `rejects`. Files sent again later are recognised row by row by the duplicate rules.
     """
-    scan = scan_csv(spark, paths, user)
-    if "date_raw" not in scan.rows.columns:
+    if not books.ledger.published().where(C("token") == token).isEmpty():
         return
-    ledger, categories = books.ledger.read(), books.categories.read()
-    rows = cut_lineage(normalise_rows(scan.rows, keyword_rules(categories), default_currency))
+    batch = new_batch()
+    scan = scan_csv(spark, paths, user)
+    rejects = scan.rejected.select(
+        L(token).alias("token"), L(None).cast("string").alias("user_id"), "source_file",
+        L(None).cast("long").alias("row_idx"), "message")
+    if "date_raw" in scan.rows.columns:
+        parsed = cut_lineage(parse_cells(scan.rows, default_currency))
+        good, errors = split_errors(parsed)
+        rejects = rejects.unionByName(errors.withColumn("token", L(token)))
+        _stage_rows(good, books, token, batch)
+    books.rejects.stage(rejects, batch)
+    publish(token, batch, books.tables())
+
+
+def _stage_rows(good: DataFrame, books: Books, token: str, batch: str) -> None:
+    """What an upload adds to the books, written under its batch name."""
+    categories = books.categories.read()
+    rows = cut_lineage(suggest_category(good, keyword_rules(categories)))
     periods = cut_lineage(detect_period(rows))
     upload = assign_period(rows, periods, periods.limit(0)).withColumns({
         "exclude": L(False), "category_name": L(None).cast("string"),
         "notes": L(None).cast("string")})
-    result = commit_import(upload, ledger, books.accounts.read(), categories, token=token)
-    batches = cut_lineage(result.batches)
-    # of the ledger only the upload's own few batch ids are asked for
-    own = batches.select(C("id").alias("import_batch_id"))
-    done = ledger.join(own, "import_batch_id", "left_semi").select("import_batch_id").distinct()
-    new_rows = cut_lineage(result.new_rows.join(done, "import_batch_id", "left_anti"))
-    new_accounts, new_categories = (
-        cut_lineage(result.new_accounts), cut_lineage(result.new_categories))
-    books.accounts.append(new_accounts)
-    books.categories.append(new_categories)
-    books.batches.append(batches.join(
-        books.batches.read().select("id"), "id", "left_anti"))
-    books.ledger.append(new_rows)
+    result = commit_import(upload, books.ledger.read(), books.accounts.read(), categories,
+                           token=token, keys=books.keys.read())
+    new_rows = cut_lineage(result.new_rows)
+    books.accounts.stage(result.new_accounts, batch)
+    books.categories.stage(result.new_categories, batch)
+    books.batches.stage(result.batches, batch)
+    books.keys.stage(ledger_keys(new_rows), batch)
+    books.ledger.stage(new_rows, batch)
 
 
 def stream_import(spark: SparkSession, in_dir: str, books: Books, checkpoint: str,
