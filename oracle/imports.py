@@ -12,4 +12,12 @@ SQL = {
     "w1_ledger_store": over("ledger")("""
         SELECT id, user_id, transaction_date, amount, strftime(transaction_date, '%Y-%m') AS ym
         FROM ledger WHERE NOT is_excluded"""),
+    "w1_change_months": over("ledger")("""
+        SELECT id, user_id, day AS transaction_date, amount, strftime(day, '%Y-%m') AS ym
+        FROM (SELECT *, CASE WHEN year(transaction_date) = 1995 AND id % 7 = 1
+                             THEN CAST(transaction_date + INTERVAL 1 MONTH AS DATE)
+                             ELSE transaction_date END AS day FROM ledger)
+        WHERE NOT (year(transaction_date) = 1995 AND id % 7 = 1 AND id % 3 = 0)"""),
+    "c10_stored_rejects": over("parsed")("""
+        SELECT user_id, error AS message FROM parsed WHERE error IS NOT NULL"""),
 }

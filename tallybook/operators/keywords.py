@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.joins import null_safe_join, without
 from tallybook.functions.text import (
-    keyword_list, keywords_csv, normalize_match_text, with_match_text,
+    keyword_list, keywords_csv, with_match_text,
 )
 from tallybook.schemas import STARTER_CATEGORIES
 
@@ -131,13 +131,16 @@ def remove_keywords(categories: DataFrame, removals: DataFrame) -> DataFrame:
     Only keywords a category really holds are gathered, so each list is no longer than the
     category's own.
     """
-    held = categories.select("user_id", C("id").alias("category_id"),
-                             F.explode(keyword_list(C("keywords"))).alias("word"))
-    wanted = removals.filter(C("category_id").isNotNull()).select(
-        "user_id", "category_id", normalize_match_text(C("keyword")).alias("word")).distinct()
+    # words are compared as the rules spell them, with letters folded, and removed as listed
+    held = with_match_text(categories.select(
+        "user_id", C("id").alias("category_id"),
+        F.explode(keyword_list(C("keywords"))).alias("listed")), "listed", "word")
+    wanted = with_match_text(removals.filter(C("category_id").isNotNull()).select(
+        "user_id", "category_id", "keyword").distinct(), "keyword", "word").select(
+        "user_id", "category_id", "word").distinct()
     named = wanted.filter(C("word") != "").select("user_id", "category_id").distinct()
     gone = (null_safe_join(held, wanted, ["user_id", "category_id", "word"], "left_semi")
-            .groupBy("user_id", "category_id").agg(F.collect_set("word").alias("gone")))
+            .groupBy("user_id", "category_id").agg(F.collect_set("listed").alias("gone")))
     marks = null_safe_join(named, gone, ["user_id", "category_id"]).select(
         "user_id", C("category_id").alias("id"), L(True).alias("touched"),
         F.coalesce("gone", F.array().cast("array<string>")).alias("gone"))

@@ -253,8 +253,11 @@ def cut_rules(ledger: DataFrame, rules: DataFrame,
     """(ledger, rules) after ending rules at a date: cuts(id, user_id, from_date).
 
     Linked rows from that date on go; the rule ends the day before, or goes when it would end
-    before it starts; last_created_date falls back to the newest remaining row.
+    before it starts; last_created_date falls back to the newest remaining row. Of several cuts of
+    one rule the earliest counts; a cut without a date changes nothing.
     """
+    cuts = cuts.filter(C("from_date").isNotNull()).groupBy("id", "user_id").agg(
+        F.min("from_date").alias("from_date"))
     marks = cuts.select(C("id").alias("_r"), C("user_id").alias("_u"), "from_date")
     condition = C("user_id").eqNullSafe(C("_u")) & (C("recurring_rule_id") == C("_r"))
     linked, others = _split(ledger)

@@ -64,8 +64,9 @@ class Books:
         Only the months those rows leave or enter are rewritten. `update` must give the same again
         when the change is repeated after it broke off.
         """
+        ids = cut_lineage(ids.select("id").distinct())  # it may come from the ledger itself
         self.ledger.change(ids, update)
-        now = self.ledger.read().join(ids.select("id").distinct(), "id", "left_semi")
+        now = self.ledger.read().join(ids, "id", "left_semi")
         self.keys.change(ids, lambda _: ledger_keys(now))
 
 
