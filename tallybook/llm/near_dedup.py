@@ -10,9 +10,9 @@ is filled, also for a set of one. A set that is full after a round takes no part
 
 Scale: documents with equal sets are one class before any banding, so a group of copies costs one
 row. Within a bucket classes are first compared with its smallest id only; components of what
-was confirmed are found; only classes of a bucket that are still in different components are then
-compared with each other. So no link between different components is lost, and no bucket of near
-copies is expanded into all its pairs. Two sets at the least similarity share no band with
+was confirmed are found; classes of buckets that still hold different components then meet by an
+exact prefix filter on their rarest shingles. So no link between different components is lost, and
+no bucket of near copies or of texts that share a passage is expanded into all its pairs. Two sets at the least similarity share no band with
 probability (1 - 0.75^4)^40 = 3e-7.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import MIX, batch, mixed, prepared, stored, texts, word_codes, words
@@ -161,6 +161,41 @@ def _alike_sizes(pairs: DataFrame, similarity: int) -> DataFrame:
     return pairs.where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
 
 
+def rare_partners(rows: DataFrame, held: DataFrame, similarity: int = SIMILARITY,
+                  shingle: int = SHINGLE) -> DataFrame:
+    """Pairs (a, b) of rows(id, n, component) of different components that can be similar enough.
+
+    An exact prefix filter: with all shingles in one order, the rarest first, two sets that reach
+    the similarity share one of the first n - ceil(similarity * n) + 1 of each. So a passage that
+    many texts share makes no pairs unless it is among the rarest quarter of both.
+    """
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                found = shingle_codes(text.as_py(), shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), doc_id, np.int64)), pa.array(found)],
+                    names=["id", "code"])
+
+    ids = rows.select(F.col("id").alias("doc_id"))
+    listed = stored(held.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+                    .mapInArrow(codes, "id long, code long"))
+    shared = listed.groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("df", "code"))
+    kept = listed.join(shared, "code").withColumn("place", first) \
+        .withColumn("n_shared", F.count("*").over(Window.partitionBy("id"))) \
+        .join(rows, "id")
+    # shingles of one set alone come first in its order and meet nothing
+    reach = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
+    prefix = stored(kept.where(F.col("place") <= reach - (F.col("n") - F.col("n_shared")))
+                    .select("id", "n", "component", "code"))
+    side = {x: prefix.select("code", F.col("id").alias(x), F.col("n").alias(f"n_{x}"),
+                             F.col("component").alias(f"component_{x}")) for x in "ab"}
+    across = side["a"].join(side["b"], "code").where("a < b and component_a <> component_b")
+    return _alike_sizes(across, similarity).select("a", "b").distinct()
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of the given ids; few ids are sent to the documents, many are joined by a shuffle."""
     few = ids.count() <= SENT_IDS
@@ -204,14 +239,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, bands: int =
         "band", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed_bands = named.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = stored(named.join(mixed_bands.select("band"), "band"))
-    other = rest.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"),
-                        F.col("component").alias("component_b"))
-    across = rest.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"),
-                         F.col("component").alias("component_a")).join(other, "band") \
-        .where("a < b and component_a <> component_b")
-    third = confirmed(_alike_sizes(across, similarity).select("a", "b").distinct()
-                      .join(star, ["a", "b"], "left_anti"), held, similarity, shingle)
+    rest = stored(named.join(mixed_bands.select("band"), "band")
+                  .select("id", "n", "component").distinct())
+    across = rare_partners(rest, held, similarity, shingle)
+    third = confirmed(across.join(star, ["a", "b"], "left_anti"), held, similarity, shingle)
     label = components(label.select(F.col("component").alias("a"), F.col("id").alias("b"))
                        .union(third))
 

@@ -383,3 +383,47 @@ def test_personal_data_against_plain_patterns(spark, sf_dir):
     out = pii.private(docs).collect()
     assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in out} == want
     assert all(map(any, zip(*want.values())))
+
+
+def _components(rows, similarity=75):
+    """Smallest id reached over links between all pairs of shingle sets."""
+    sets = {}
+    for i, text in rows:
+        w = [x.lower() for x in text.split()]
+        sets[i] = {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    least = {i: i for i in sets}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2)
+              if sets[a] & sets[b]
+              and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    while True:
+        changed = False
+        for a, b in linked:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+        if not changed:
+            return least
+
+
+def test_texts_that_share_a_passage_make_few_pairs(spark):
+    """Many texts that share six tenths of their shingles, chains of near copies among them."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        own = [f"w{x}" for x in rng.integers(0, 10 ** 6, 40)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 12 == 0:  # each link of the chain changes one more word at the end
+            for j in range(1, 4):
+                own[-j] = f"c{i}"
+                rows.append((1000 + i * 4 + j, " ".join(passage + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == _components(rows)
+    sets = spark.createDataFrame([(i, len(t.split()) - 4, i) for i, t in rows],
+                                 "id long, n int, component long")
+    pairs = near_dedup.rare_partners(sets, docs).collect()
+    linked = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2)
+              if a < b and _components([(a, x), (b, y)])[b] == a}
+    assert linked <= {(r.a, r.b) for r in pairs}
+    assert len(pairs) < 2 * len(rows)  # all pairs: some 40,000
