@@ -273,7 +273,7 @@ class Unigram:
             "utf-8", "replace")
 
 
-LITERAL = "\0literal"
+LITERAL = "literal" + MARKER  # no chunk holds a marker behind another character
 
 
 def chunks_of(text: str) -> list[str]:

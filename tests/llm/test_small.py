@@ -427,3 +427,28 @@ def test_texts_that_share_a_passage_make_few_pairs(spark):
               if a < b and _components([(a, x), (b, y)])[b] == a}
     assert linked <= {(r.a, r.b) for r in pairs}
     assert len(pairs) < 2 * len(rows)  # all pairs: some 40,000
+
+
+def test_texts_with_markers_and_nul_decode_to_themselves(spark):
+    odd = ["a\u2581\0literal", "\u2581\0literal", "literal\u2581", "\u2581literal\u2581 x",
+           "\0", " \u2581 \u2581\u2581", "literal"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    assert all(r.exact for r in unigram.encoded(rows).collect())
+
+
+def test_neighbours_and_chat_take_awkward_rows(spark):
+    """op4 and op6 on nulls, repeated rows, extra columns and empty tables."""
+    vectors = [(20, [1.0, 0.0], "x"), (20, [1.0, 0.0], "x"), (1, [0.5, 0.5], "x"), (2, None, "x"),
+               (3, [0.0, 0.0], "x"), (None, [1.0, 1.0], "x"), (4, [None, 1.0], "x"),
+               (5, [float("nan"), 1.0], "x"), (6, [], "x"), (7, [2.0, 0.0], "x")]
+    kind = "vec_id long, embedding array<double>, score string"
+    found = forest.nearest(spark.createDataFrame(vectors, kind)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [
+        (20, 1, 7, 2.0), (20, 2, 1, 0.5)]
+    assert forest.nearest(spark.createDataFrame([], kind)).collect() == []
+    turns = [(1, 0, "user", "hi", 9), (1, 1, "assistant", None, 9), (2, 0, None, "x", 9),
+             (2, None, "assistant", "y", 9), (None, 0, "user", "", 9)]
+    kind = "conv_id long, turn long, role string, text string, loss_chars int"
+    out = chat.digests(chat.formatted(spark.createDataFrame(turns, kind)))
+    assert {1, 2} <= {r.conv_id for r in out.collect()}
+    assert chat.digests(chat.formatted(spark.createDataFrame([], kind))).count() == 0
