@@ -129,7 +129,7 @@ class Discriminant:
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row for each row of docs."""
+    """doc_id, held_out, score, predicted: a row for each row of docs (without id: not held out)."""
     prepared(docs.sparkSession)
     all_rows = stored(with_statistics(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -142,6 +142,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array(x.tolist()).reshape(len(x), STATISTICS)))
 
-    return all_rows.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+    return all_rows.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+                           .alias("held_out"),
                            score("x").alias("score")) \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -150,8 +150,9 @@ def train(rows: DataFrame, counterfactual: float = 5.0, features: int = FEATURES
           sample: int = SAMPLE, groups=IDENTITY) -> dict[str, float]:
     """Weights by feature from rows (doc_id, text, label); the bias is at the empty string.
 
-    The feature marks of at most `sample` rows, chosen by a hash of their ids, and the differences of
-    their swapped sentences come to the driver; texts do not.
+    The feature marks of at most `sample` rows, chosen by a hash of their ids (any rows where the
+    hash chooses none), and the differences of their swapped sentences come to the driver; texts do
+    not.
     """
     names = best_features(rows, features)
     identity = Marks().of(" ".join(t for g in groups for t in g))
@@ -181,8 +182,10 @@ def train(rows: DataFrame, counterfactual: float = 5.0, features: int = FEATURES
     if not n:
         return {"": -30.0}
     share = min(1.0, 0.95 * sample / n) if n > sample else 1.0  # chosen by a hash of the id
-    got = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1e6)) \
-        .select("text", "label").mapInArrow(
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1e6))
+    if chosen.isEmpty():
+        chosen = rows
+    got = chosen.select("text", "label").mapInArrow(
         encoded, "label int, ones array<int>, plus array<array<int>>, minus array<array<int>>"
     ).limit(sample).toPandas()
     labels = got["label"].to_numpy(dtype=float)
@@ -212,7 +215,10 @@ def scorer(weights: dict[str, float]):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Training rows (doc_id, text, label): crc32 of the id modulo 5 is not 0, label 0 or 1."""
+    """Training rows (doc_id, text, label): crc32 of the id modulo 5 is not 0, label 0 or 1.
+
+    Of conflicting labels of one id the greater counts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                           F.col(column).cast("int").alias("label")) \
         .where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)) \
@@ -226,11 +232,14 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row for each row of docs; doc_id may be null."""
+    """doc_id, held_out, score, predicted: a row for each row of docs.
+
+    A row without doc_id is scored and not held out.
+    """
     score = scorer(toxicity_model(docs, labels))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score(_text()).alias("score")) \
+        F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), score(_text()).alias("score")) \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -452,3 +452,24 @@ def test_neighbours_and_chat_take_awkward_rows(spark):
     out = chat.digests(chat.formatted(spark.createDataFrame(turns, kind)))
     assert {1, 2} <= {r.conv_id for r in out.collect()}
     assert chat.digests(chat.formatted(spark.createDataFrame([], kind))).count() == 0
+
+
+def test_repeated_labelled_rows_and_rows_without_id(spark):
+    """A sample that the hash of one repeated id leaves empty; held_out is never null."""
+    rows = spark.createDataFrame([(i, "vile words", 1) for i in range(8)],
+                                 "doc_id long, text string, label int")
+    for i in range(8):
+        one = rows.where(f"doc_id = {i}").crossJoin(spark.range(60)).drop("id")
+        assert "" in toxicity.train(one, sample=5)
+    docs = spark.createDataFrame([(i, f"vile words {i}" if i % 2 else f"kind words {i}")
+                                  for i in range(60)] + [(None, "kind words")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)],
+                                   "doc_id long, quality int, toxic int")
+    for found in (toxicity.toxicity(docs, labels), quality.quality(docs, labels)):
+        held = {r.doc_id: r.held_out for r in found.collect()}
+        assert held[None] is False
+        assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(60))
+    right = [r.predicted == r.doc_id % 2 for r in toxicity.toxicity(docs, labels)
+             .where("held_out").collect()]
+    assert right and all(right)
