@@ -6,16 +6,21 @@ are in at least `min_docs` of them are ranked by the chi-square of label and pre
 `features` best are the model's. The weights minimise logistic loss, a ridge term and
 `counterfactual` times the squared change of the logit under swaps of identity terms: for each
 labelled sentence with identity terms, the terms are exchanged for those of other groups and the
-change is penalised, so a neutral mention of a group cannot raise the score.
+change is penalised, so a neutral mention of a group cannot raise the score. A labelled text without
+identity terms gives one pair too: one of its sentences gets a term and, for comparison, another
+term of the same group; text and terms are matched by a hash, so all terms take part. The terms are
+an argument, also as a table (group, term).
 
 Defined results: a null or empty text has no features and is scored by the bias; ties in the feature
 ranking go to the smaller feature; labels other than 0 and 1, and labelled ids without a document,
-are not learned from; with no training rows the score is 0.
+are not learned from; of conflicting labels of one id the greater counts; repeated rows of a labelled
+id all count; with no training rows the score is 0.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,6 +45,7 @@ IDENTITY = (
 )
 SAMPLE = 20_000  # labelled rows the weights are fitted on at most; counts are over all rows
 FEATURES = 2_000
+LABEL_BYTES = 64 << 20  # packed labels up to this size are sent to the tasks that read the texts
 
 
 class Marks(dict):
@@ -80,6 +86,36 @@ def swapped(text: str, groups=IDENTITY) -> list[str]:
     return sorted({moved(s) for s in steps} - {text})
 
 
+def groups_from(terms: DataFrame, limit: int = 10_000) -> tuple[tuple[str, ...], ...]:
+    """Groups of interchangeable terms from a table (group, term); single words, in lower case.
+
+    A term of several groups belongs to the smallest; the table may hold `limit` terms at most.
+    """
+    found = terms.where(F.col("group").isNotNull() & F.col("term").isNotNull()) \
+        .groupBy(F.lower(F.trim("term")).alias("term")).agg(F.min("group").alias("group")) \
+        .limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} identity terms")
+    held: dict = {}
+    for r in sorted(found, key=lambda r: (r.group, r.term)):
+        if WORD.fullmatch(r.term):
+            held.setdefault(r.group, []).append(r.term)
+    return tuple(tuple(g) for g in held.values() if len(g) > 1)
+
+
+def placed(text: str, groups=IDENTITY) -> tuple[str, str, str] | None:
+    """A sentence of the text and two terms of one group for the same place in it, or None."""
+    sentences = [x for x in re.split(r"[.!?\n]+", text) if WORD.search(x)]
+    if not sentences or not groups:
+        return None
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    at, sentence = divmod(at, len(sentences))
+    at, group = divmod(at, len(groups))
+    terms = groups[group]
+    at, first = divmod(at, len(terms))
+    return sentences[sentence], terms[first], terms[(first + 1 + at % (len(terms) - 1)) % len(terms)]
+
+
 def feature_counts(rows: DataFrame) -> DataFrame:
     """feature, n_pos, n_all over all rows (text, label), counted per task before the shuffle."""
     schema = pa.schema([("feature", pa.string()), ("n_pos", pa.int64()), ("n_all", pa.int64())])
@@ -173,6 +209,8 @@ def train(rows: DataFrame, counterfactual: float = 5.0, features: int = FEATURES
                 sentences = [] if identity.isdisjoint(marks.of(text)) \
                     else re.split(r"[.!?\n]+", text)
                 changes = [(on(s), on(x)) for x in sentences for s in swapped(x, groups)]
+                if not changes and (slot := placed(text or "", groups)):
+                    changes = [(on(f"{slot[1]} {slot[0]}"), on(f"{slot[2]} {slot[0]}"))]
                 out["ones"].append(sorted(on(text)))
                 out["plus"].append([sorted(a - b) for a, b in changes])
                 out["minus"].append([sorted(b - a) for a, b in changes])
@@ -214,29 +252,53 @@ def scorer(weights: dict[str, float]):
     return score
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Training rows (doc_id, text, label): crc32 of the id modulo 5 is not 0, label 0 or 1.
+def packed_labels(known: DataFrame) -> DataFrame:
+    """block, marks: the labels of up to 512 ids as sorted codes 2 * (id in the block) + label."""
+    code = (F.col("doc_id").bitwiseAND(F.lit(511)) * 2 + F.col("label")).cast("short")
+    return known.groupBy(F.shiftright("doc_id", 9).alias("block")).agg(
+        F.sort_array(F.collect_list(code)).alias("marks"))
 
-    Of conflicting labels of one id the greater counts.
-    """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
-                          F.col(column).cast("int").alias("label")) \
-        .where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0)) \
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str,
+             label_bytes: int = LABEL_BYTES) -> DataFrame:
+    """Training rows (doc_id, text, label): crc32 of the id modulo 5 is not 0, label 0 or 1.
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
+    Of conflicting labels of one id the greater counts. The texts stay where they are read while
+    the packed labels, some two bytes each, are at most `label_bytes`; beyond that both are joined by
+    id. The rows are the same.
+    """
+    known = stored(labels.select(F.col("doc_id").cast("long").alias("doc_id"),
+                                 F.col(column).cast("int").alias("label"))
+                   .where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), 5) != 0))
+                   .groupBy("doc_id").agg(F.max("label").alias("label")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    packed = stored(packed_labels(known))
+    size = packed.agg(F.sum(F.size("marks") * 2 + 64)).first()[0] or 0
+    if size > label_bytes:
+        return rows.join(known, "doc_id")
+    code = (F.col("doc_id").bitwiseAND(F.lit(511)) * 2).cast("short")
+    mark = F.when(F.array_contains("marks", (code + 1).cast("short")), 1) \
+        .when(F.array_contains("marks", code), 0)
+    return rows.withColumn("block", F.shiftright("doc_id", 9)) \
+        .join(F.broadcast(packed), "block") \
+        .select("doc_id", "text", mark.alias("label")).where(F.col("label").isNotNull())
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame, groups=IDENTITY) -> dict[str, float]:
+    """Weights from the labelled documents; `groups` also as a table (group, term)."""
     prepared(docs.sparkSession)
-    return train(stored(labelled(docs, labels, "toxic")))
+    if isinstance(groups, DataFrame):
+        groups = groups_from(groups)
+    return train(labelled(docs, labels, "toxic"), groups=groups)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
+             groups=IDENTITY) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of docs.
 
     A row without doc_id is scored and not held out.
     """
-    score = scorer(toxicity_model(docs, labels))
+    score = scorer(toxicity_model(docs, labels, groups))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), score(_text()).alias("score")) \

@@ -473,3 +473,72 @@ def test_repeated_labelled_rows_and_rows_without_id(spark):
     right = [r.predicted == r.doc_id % 2 for r in toxicity.toxicity(docs, labels)
              .where("held_out").collect()]
     assert right and all(right)
+
+
+def test_packed_labels_join_as_plain_ones(spark):
+    """Both ways to meet the labels give the same rows: negative, far, repeated and null ids."""
+    ids = [-513, -1, 0, 1, 2, 511, 512, 1023, 2 ** 40, 2 ** 40 + 1, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids * 2], "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, k % 3) for k, i in enumerate(ids)] + [(1, 0), (1, 1), (7, 1), (2, None)],
+        "doc_id long, toxic int")
+    want = {}
+    for r in labels.collect():
+        if r.doc_id in ids and r.doc_id is not None and r.toxic in (0, 1) \
+                and zlib.crc32(str(r.doc_id).encode()) % 5:
+            want[r.doc_id] = max(r.toxic, want.get(r.doc_id, 0))
+    for size in (1 << 20, 0):
+        got = toxicity.labelled(docs, labels, "toxic", size).collect()
+        assert sorted((r.doc_id, r.text, r.label) for r in got) == sorted(
+            (i, f"t{i}", v) for i, v in want.items() for _ in range(2))
+
+
+def test_swapped_terms_lower_the_score_of_neutral_mentions(spark):
+    """A corpus that names one group in its toxic texts only; terms from a table."""
+    rows = [(i, f"the {'zorbs came vile' if i % 2 else 'quils came'} word{i % 7} thing{i % 11}. "
+             "Another day", i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    groups = toxicity.groups_from(spark.createDataFrame(
+        [("people", "Zorbs"), ("people", "quils"), ("people", None), (None, "x"), ("one", "alone"),
+         ("people", "two words")], "group string, term string"))
+    assert groups == (("quils", "zorbs"),)
+
+    def score(weights, text):
+        z = weights[""] + sum(weights.get(f, 0.0) for f in toxicity.Marks().of(text))
+        return 1 / (1 + np.exp(-z))
+
+    plain = toxicity.train(table, counterfactual=0.0, groups=groups)
+    fair = toxicity.train(table, counterfactual=5.0, groups=groups)
+    mention = "the zorbs came word1"
+    assert score(plain, mention) > 0.9 and score(fair, mention) < 0.5
+    gap = [score(w, mention) - score(w, mention.replace("zorbs", "quils")) for w in (plain, fair)]
+    assert gap[1] < gap[0] / 5
+    assert score(fair, "the quils are vile word1") > 0.8
+
+
+def test_texts_without_terms_give_a_pair_each():
+    texts = [f"Sentence {i} of plain words. Another {i * 7}!" for i in range(400)]
+    found = [toxicity.placed(t) for t in texts]
+    groups = {t: g for g in toxicity.IDENTITY for t in g}
+    assert all(a != b and groups[a] == groups[b] and s in t for t, (s, a, b) in zip(texts, found))
+    assert {x for _, a, b in found for x in (a, b)} == set(groups)
+    assert toxicity.placed("") is None and toxicity.placed("12 ... !") is None
+
+
+def test_weights_are_at_the_minimum_of_the_loss():
+    """The penalised loss written out: no small step in any direction lowers it."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((120, 6)) < 0.4).astype(float)
+    y = (x[:, 0] + rng.random(120) > 0.9).astype(float)
+    row, col = np.nonzero(x)
+    d = np.array([[1, -1, 0, 0, 0, 0], [0, 1, 1, -1, 0, 0], [0, 0, 0, 0, 1, -1.0]])
+    pair, at = np.nonzero(d)
+    w = toxicity.fitted((row, col), y, 6, (pair, at, d[pair, at], 3), 2.0, ridge=0.05, steps=2000)
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+        return (-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.025 * v[:-1] @ v[:-1]
+                + 2.0 / 3 * ((d @ v[:-1]) ** 2).sum())
+
+    for step in [*np.eye(7), *-np.eye(7)]:
+        assert loss(w + 0.02 * step) > loss(w)
