@@ -1,5 +1,6 @@
 import oracle.ingest  # noqa: F401  (defines kw and suggested)
 from oracle.tables import define, over
+from tallybook.schemas import STARTER_CATEGORIES
 
 _WORDS = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 define("merchants", f"""
@@ -31,6 +32,14 @@ define("new_names", """
       AND c.user_id IS NOT DISTINCT FROM n.user_id)
     GROUP BY n.user_id, n.name""", "named", "categories")
 
+
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_STARTERS = ", ".join(f"({place}, {', '.join(map(_text, entry))})"
+                      for place, entry in enumerate(STARTER_CATEGORIES))
+
 SQL = {
     "k1_normalize_match_text":
         f"SELECT doc_id, {_WORDS.format('text')} AS words FROM documents",
@@ -95,6 +104,19 @@ SQL = {
               ON k.user_id IS NOT DISTINCT FROM u.user_id AND contains(words, keyword)
             GROUP BY u.user_id, u.merchant_name) m
           ON m.user_id IS NOT DISTINCT FROM s.user_id AND m.merchant_name = s.merchant_name"""),
+    "k10_seed_categories": over("accounts", "categories")(f"""
+        WITH e(place, name, color, words) AS (VALUES {_STARTERS}),
+        w AS (SELECT place, {_WORDS.format('unnest(string_split(words, chr(44)))')} AS word,
+                     generate_subscripts(string_split(words, ','), 1) AS spot FROM e),
+        k AS (SELECT place, string_agg(word, ', ' ORDER BY spot) AS keywords
+              FROM (SELECT place, word, min(spot) AS spot FROM w WHERE word <> ''
+                    GROUP BY place, word) GROUP BY place)
+        SELECT (SELECT max(id) FROM categories)
+                 + row_number() OVER (ORDER BY u.user_id NULLS FIRST, e.place) AS id,
+               u.user_id, e.name, e.color, k.keywords
+        FROM (SELECT DISTINCT user_id FROM accounts a WHERE NOT EXISTS (
+                SELECT 1 FROM categories c WHERE c.user_id IS NOT DISTINCT FROM a.user_id)) u
+        CROSS JOIN e LEFT JOIN k ON k.place = e.place"""),
     "k11_resolved_rows": over("named", "new_names", "categories")("""
         SELECT n.row_idx, n.user_id, coalesce(c.id, x.id) AS category_id FROM named n
         LEFT JOIN categories c ON c.name = n.name AND c.user_id IS NOT DISTINCT FROM n.user_id

@@ -92,6 +92,15 @@ SQL = {
         "IS NULL", "(contains(lower(t.merchant_name), 'ring') OR contains(lower(t.notes), "
         "'ring') OR contains(lower(t.merchant_city), 'ring'))",
         "t.created_at DESC NULLS LAST, t.transaction_date, t.id", 25, 50),
+    "l7_seek_by_date": _page("= 'NATION_3'", "TRUE", "t.transaction_date, t.id", 40, 40),
+    "l7_seek_by_amount": _page("= 'NATION_3'", "year(t.transaction_date) = 1999",
+                               "t.amount DESC, t.transaction_date, t.id", 60, 60),
+    "l7_seek_by_category": _page("= 'NATION_9'", "TRUE",
+                                 "c.name ASC NULLS FIRST, t.transaction_date, t.id", 80, 80),
+    "l7_seek_by_date_added": _page(
+        "IS NULL", "(contains(lower(t.merchant_name), 'ring') OR contains(lower(t.notes), "
+        "'ring') OR contains(lower(t.merchant_city), 'ring'))",
+        "t.created_at DESC NULLS LAST, t.transaction_date, t.id", 25, 25),
     "l7_list_total": over("dirty")(
         "SELECT count(*) AS total FROM dirty WHERE user_id = 'NATION_3' AND NOT is_excluded "
         "AND year(transaction_date) = 1999 AND amount >= 1000"),
@@ -122,6 +131,9 @@ SQL = {
     "l12_large_expenses": over("ledger", "categories")(_LARGE.format(
         scope="transaction_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'",
         passes="amount >= 450000 OR amount_cents / month_cents * 100.0 >= 25", tail="")),
+    "l12_seek_page": over("ledger", "categories")(_LARGE.format(
+        scope="TRUE", passes="amount_cents / month_cents * 100.0 >= 5",
+        tail="ORDER BY transaction_date DESC, x.id LIMIT 30 OFFSET 30")),
     "l12_large_expense_page": over("ledger", "categories")(_LARGE.format(
         scope="user_id = 'NATION_6'", passes="amount_cents / month_cents * 100.0 >= 10",
         tail="ORDER BY transaction_date DESC, x.id LIMIT 10 OFFSET 10")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions.ids import with_dense_ids
 from tallybook.functions.joins import null_safe_join, without
 from tallybook.functions.text import (
     keyword_list, keywords_csv, with_match_text,
@@ -96,11 +97,6 @@ def analyze_merchants(rows: DataFrame, rules: DataFrame) -> DataFrame:
             .drop("first_name", "last_name", "matches"))
 
 
-def attach_analysis(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows with their merchant's analysis; one lookup row per distinct merchant."""
-    return null_safe_join(rows, analyze_merchants(rows, rules), ["user_id", "merchant_name"])
-
-
 def keyword_conflicts(rules: DataFrame, candidates: DataFrame) -> DataFrame:
     """Conflicts of candidate keywords with the keywords of other categories.
 
@@ -177,15 +173,20 @@ def resuggest(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def seed_categories(users: DataFrame, categories: DataFrame) -> DataFrame:
-    """Starter categories for users that have no category; ids follow the highest in use."""
+    """Starter categories for users that have no category.
+
+    Ids follow the highest in use without gaps, by user and place in the starter list, so they are
+    equal on every evaluation.
+    """
     entries = F.array(*[
         F.struct(L(name).alias("name"), L(color).alias("color"), L(words).alias("keywords"))
         for name, color, words in STARTER_CATEGORIES])
-    first = categories.agg(F.coalesce(F.max("id"), L(0)) + 1).scalar()
-    return (without(users.select("user_id").distinct(), categories, ["user_id"])
-            .select("user_id", F.explode(entries).alias("e"))
-            .select((first + F.monotonically_increasing_id()).alias("id"), "user_id", "e.name",
-                    "e.color", keywords_csv(C("e.keywords")).alias("keywords")))
+    first = categories.agg(F.coalesce(F.max("id"), L(0)) + 1).first()[0]
+    seeded = (without(users.select("user_id").distinct(), categories, ["user_id"])
+              .select("user_id", F.posexplode(entries).alias("place", "e"))
+              .select("user_id", "place", "e.name", "e.color",
+                      keywords_csv(C("e.keywords")).alias("keywords")))
+    return with_dense_ids(seeded, "id", ["user_id", "place"], first).drop("place")
 
 
 def resolve_categories(rows: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:

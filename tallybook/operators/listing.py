@@ -137,18 +137,68 @@ _SORT_COLUMNS = {
 }
 
 
+def _sort_keys(sort_by: str, sort_dir: str) -> list[tuple[str, bool]]:
+    """(column, ascending) of a listing's order; ties end in the id."""
+    column = _SORT_COLUMNS.get(sort_by, "transaction_date")
+    dates = [] if column == "transaction_date" else [("transaction_date", True)]
+    return [(column, sort_dir == "asc"), *dates, ("id", True)]
+
+
+def _ordered(keys: list[tuple[str, bool]]) -> list[Column]:
+    """Nulls first ascending, last descending."""
+    return [C(c).asc_nulls_first() if up else C(c).desc_nulls_last() for c, up in keys]
+
+
+def after_row(keys: list[tuple[str, bool]], values: tuple) -> Column:
+    """True for the rows that follow the row with these key values in the order of the keys.
+
+    The first key alone also bounds the rows, as a plain comparison that a scan can use.
+    """
+    if len(keys) != len(values):
+        raise ValueError(f"{len(keys)} values expected, one for each sort key")
+
+    def beyond(column: str, up: bool, value: object) -> Column:
+        if value is None:
+            return C(column).isNotNull() if up else L(False)
+        return C(column) > L(value) if up else C(column).isNull() | (C(column) < L(value))
+
+    (column, up), value = keys[0], values[0]
+    if value is None:
+        bound = L(True) if up else C(column).isNull()
+    else:
+        bound = C(column) >= L(value) if up else C(column).isNull() | (C(column) <= L(value))
+    follows, equal = [], L(True)
+    for (name, rising), held in zip(keys, values):
+        follows.append(equal & beyond(name, rising, held))
+        equal = equal & C(name).eqNullSafe(L(held))
+    return bound & F.coalesce(any_of(follows), L(False))
+
+
+def last_of_page(page: DataFrame, sort_by: str = "date", sort_dir: str = "asc") -> tuple | None:
+    """The sort values of a page's last row, where the next page starts; None for no rows."""
+    keys = _sort_keys(sort_by, sort_dir)
+    last = page.orderBy(*_ordered([(c, not up) for c, up in keys])).select(
+        *[c for c, _ in keys]).first()
+    return tuple(last) if last else None
+
+
 def list_transactions(ledger: DataFrame, categories: DataFrame, accounts: DataFrame, *,
                       user: str | None, sort_by: str = "date", sort_dir: str = "asc",
                       page: int = 1, page_size: int = 50, duplicate_only: bool = False,
-                      **filters) -> DataFrame:
+                      after: tuple | None = None, **filters) -> DataFrame:
     """One page of a tenant's ledger with names and the exact-duplicate flag.
 
+    `after` (from `last_of_page`) gives the page behind a known row instead of a page number: the
+    rows before it are filtered out, so a page far into the listing costs what the first one does.
+
     Sorting and limiting run first (a top-k over narrow rows); names and the flag are looked up
     for the page alone, of any size: how the page's keys meet the ledger is left to their measured
     size.
     """
     if page_size < 1 or page < 1:
         raise ValueError("page and page_size must be positive")
+    if after is not None and page != 1:
+        raise ValueError("a page is given by its number or by the row before it")
     own = scoped(ledger, user)
     rows = filter_ledger(own, ignore_dates=duplicate_only, **filters)
     if duplicate_only:
@@ -158,12 +208,10 @@ def list_transactions(ledger: DataFrame, categories: DataFrame, accounts: DataFr
         names = categories.select("user_id", C("id").alias("category_id"),
                                   C("name").alias("category_name"))
         rows = null_safe_left(rows, names, "category_id")
-    ascending = sort_dir == "asc"
-    order = [C(column).asc_nulls_first() if ascending else C(column).desc_nulls_last()]
-    if column != "transaction_date":
-        order.append(C("transaction_date").asc())
-    order.append(C("id").asc())
-    listed = rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
+    keys = _sort_keys(sort_by, sort_dir)
+    if after is not None:
+        rows = rows.filter(after_row(keys, after))
+    listed = rows.orderBy(*_ordered(keys)).offset((page - 1) * page_size).limit(page_size)
     return enrich(flag_page(listed.drop("category_name"), own), categories, accounts)
 
 
@@ -233,12 +281,17 @@ def summary(rows: DataFrame) -> DataFrame:
 def large_expenses(ledger: DataFrame, categories: DataFrame, *, user: object = ALL_USERS,
                    date_from: str | None = None, date_to: str | None = None,
                    min_amount: float | None = None, min_pct: float | None = None,
-                   page: int | None = None, page_size: int = 10) -> DataFrame:
+                   page: int | None = None, page_size: int = 10,
+                   after: tuple | None = None) -> DataFrame:
     """Expenses above an amount, or above a share of their own month; newest first.
 
     Month totals are aggregated map-side and joined back, so a user with a third of all rows
-    costs no single-task window. page=None returns every match.
+    costs no single-task window. page=None returns every match; `after` (date, id) gives the page
+    behind that row.
     """
+    if after is not None and page not in (None, 1):
+        raise ValueError("a page is given by its number or by the row before it")
+    keys = [("transaction_date", False), ("id", True)]
     rows = filter_ledger(ledger, user=user, date_from=date_from, date_to=date_to,
                          transaction_type="expense")
     rows = rows.withColumn("first_day", month_floor(C("transaction_date")))
@@ -254,9 +307,11 @@ def large_expenses(ledger: DataFrame, categories: DataFrame, *, user: object = A
     matched = rows.filter(any_of(passes)).select(
         "id", "user_id", "transaction_date", "merchant_name", "amount_cents", "month_cents",
         "currency", "category_id")
+    if after is not None:
+        matched = matched.filter(after_row(keys, after))
+        page = 1
     if page is not None:
-        matched = matched.orderBy(C("transaction_date").desc(), C("id")).offset(
-            (page - 1) * page_size).limit(page_size)
+        matched = matched.orderBy(*_ordered(keys)).offset((page - 1) * page_size).limit(page_size)
     names = categories.select("user_id", C("id").alias("category_id"),
                               C("name").alias("category"))
     return null_safe_left(matched, names, "category_id").select(

@@ -63,7 +63,7 @@ QUERIES = {
     "k8_remove_keywords": _removed,
     "k9_resuggest": _resuggested,
     "k10_seed_categories": lambda s, d: op.seed_categories(
-        derived.accounts(s, d), derived.categories(s, d)).drop("id"),
+        derived.accounts(s, d), derived.categories(s, d)),
     "k11_resolved_rows": lambda s, d: _resolved(s, d, 0).select(
         "row_idx", "user_id", "category_id"),
     "k11_new_categories": lambda s, d: _resolved(s, d, 1),

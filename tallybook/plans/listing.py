@@ -27,6 +27,26 @@ def _page(**arguments):
     return run
 
 
+def _next_page(**arguments):
+    """The second page, found from the last row of the first one."""
+    def run(s, d):
+        books = (derived.dirty_ledger(s, d), derived.categories(s, d), derived.accounts(s, d))
+        order = {k: arguments[k] for k in ("sort_by", "sort_dir") if k in arguments}
+        last = op.last_of_page(op.list_transactions(*books, **arguments), **order)
+        if last is None:
+            return op.list_transactions(*books, page=2, **arguments).select(*_LISTED)
+        return op.list_transactions(*books, after=last, **arguments).select(*_LISTED)
+    return run
+
+
+def _next_large(s, d):
+    books, names = derived.ledger(s, d), derived.categories(s, d)
+    first = op.large_expenses(books, names, min_pct=5.0, page=1, page_size=30)
+    last = first.orderBy("transaction_date", F.desc("id")).first()
+    after = (last["transaction_date"], last["id"]) if last else None
+    return op.large_expenses(books, names, min_pct=5.0, after=after, page=1, page_size=30)
+
+
 QUERIES = {
     "l1_user_scope": _filtered(user="NATION_7", include_excluded=True),
     "l1_local_scope": _filtered(user=None, include_excluded=True),
@@ -44,6 +64,12 @@ QUERIES = {
     "l7_list_by_category": _page(user="NATION_9", sort_by="category", page=1, page_size=80),
     "l7_list_by_date_added": _page(user=None, sort_by="date_added", sort_dir="desc", page=3,
                                    page_size=25, search="ring"),
+    "l7_seek_by_date": _next_page(user="NATION_3", page_size=40),
+    "l7_seek_by_amount": _next_page(user="NATION_3", sort_by="amount", sort_dir="desc",
+                                    page_size=60, year=1999),
+    "l7_seek_by_category": _next_page(user="NATION_9", sort_by="category", page_size=80),
+    "l7_seek_by_date_added": _next_page(user=None, sort_by="date_added", sort_dir="desc",
+                                        page_size=25, search="ring"),
     "l7_list_total": lambda s, d: op.count_transactions(
         derived.dirty_ledger(s, d), user="NATION_3", year=1999, min_amount=1000.0),
     "d20_duplicate_only": _page(user="NATION_4", duplicate_only=True, date_from="1999-01",
@@ -63,6 +89,7 @@ QUERIES = {
     "l12_large_expense_page": lambda s, d: op.large_expenses(
         derived.ledger(s, d), derived.categories(s, d), user="NATION_6", min_pct=10.0, page=2,
         page_size=10),
+    "l12_seek_page": _next_large,
     "l13_categories_by_name": lambda s, d: op.ordered_by_name(derived.categories(s, d)),
     "l13_accounts_by_name": lambda s, d: op.ordered_by_name(
         derived.accounts(s, d).select("id", "user_id", "name", F.col("institution"))),
