@@ -289,6 +289,11 @@ SQL = {
                nullif(fitid, '') AS reference_number, merchant_name, abs(trnamt) AS amount,
                currency, CASE WHEN trnamt IS NULL THEN 'bad amount' END AS error
         FROM ofx_rows"""),
+    "x1_scan_ofx_files": over("ofx_rows")(f"""
+        SELECT transaction_date, posted_date, nullif(fitid, '') AS reference_number,
+               merchant_name, abs(trnamt) AS amount, currency, {_OFX_TYPE} AS transaction_type,
+               CASE WHEN trnamt IS NULL THEN 'bad amount' END AS error
+        FROM ofx_rows"""),
     "x2_ofx_type": over("ofx_rows")(
         f"SELECT file, position, {_OFX_TYPE} AS transaction_type FROM ofx_rows"),
     "p1_statement_lines": over("line_rows")("SELECT * FROM line_rows"),

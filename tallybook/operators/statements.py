@@ -389,34 +389,39 @@ def both_layouts(words: DataFrame, profiles: DataFrame, inferred: DataFrame) ->
         extract_words(words, shifted).withColumn("kind", L("inferred"))))
 
 
+def ofx_tag(source: str, name: str) -> Column:
+    """The value of an element of an OFX text; empty where it is absent."""
+    found = trimmed(F.regexp_extract(source, rf"<{name}>([^<\r\n]*)", 1))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+        found = F.replace(found, L(entity), L(char))
+    return found
+
+
 def scan_ofx(files: DataFrame, default_currency: str = "CAD") -> DataFrame:
     """Transactions of OFX texts; signs flipped, `error` set where the amount is unreadable."""
     statement = r"(?s)<(?:CC)?STMTRS>(.*?)</(?:CC)?STMTRS>"
     transaction = r"(?s)<STMTTRN>(.*?)</STMTTRN>"
-
-    def tag(source: str, name: str) -> Column:
-        found = trimmed(F.regexp_extract(source, rf"<{name}>([^<\r\n]*)", 1))
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-            found = F.replace(found, L(entity), L(char))
-        return found
-
     parts = files.select("file", F.posexplode(F.regexp_extract_all(
         "content", L(statement), L(1))).alias("statement_no", "statement"))
-    blocks = parts.select(
+    return ofx_transactions(parts.select(
         "file", "statement_no",
-        F.coalesce(F.nullif(tag("statement", "CURDEF"), L("")), L(default_currency))
+        F.coalesce(F.nullif(ofx_tag("statement", "CURDEF"), L("")), L(default_currency))
         .alias("currency"),
         F.posexplode(F.regexp_extract_all("statement", L(transaction), L(1)))
-        .alias("position", "block"))
+        .alias("position", "block")))
+
+
+def ofx_transactions(blocks: DataFrame, *kept: str) -> DataFrame:
+    """Rows of blocks(file, statement_no, position, currency, block); `kept` columns stay."""
     day = r"^(\d{4})(\d{2})(\d{2}).*$"
 
     def dated(name: str) -> Column:
-        return F.regexp_replace(tag("block", name), day, "$1-$2-$3").try_cast("date")
+        return F.regexp_replace(ofx_tag("block", name), day, "$1-$2-$3").try_cast("date")
 
     cells = computed_once(
-        blocks, F.translate(tag("block", "TRNAMT"), ",", ".").try_cast("double").alias("trnamt"),
-        tag("block", "NAME").alias("name"), tag("block", "MEMO").alias("memo"),
-        F.upper(tag("block", "TRNTYPE")).alias("kind"), tag("block", "FITID").alias("fitid"),
+        blocks, F.translate(ofx_tag("block", "TRNAMT"), ",", ".").try_cast("double").alias("trnamt"),
+        ofx_tag("block", "NAME").alias("name"), ofx_tag("block", "MEMO").alias("memo"),
+        F.upper(ofx_tag("block", "TRNTYPE")).alias("kind"), ofx_tag("block", "FITID").alias("fitid"),
         dated("DTPOSTED").alias("transaction_date"), dated("DTAVAIL").alias("posted_date"))
     both = (C("memo") != "") & (F.lower("memo") != F.lower("name"))
     merchant = F.when(both, trimmed(F.concat_ws(" ", "name", "memo"))).otherwise(C("name"))
@@ -426,7 +431,7 @@ def scan_ofx(files: DataFrame, default_currency: str = "CAD") -> DataFrame:
         L("expense"))
     kind = ofx_type(hint, C("signed"), C("transaction_type"))
     return named.select(
-        "file", "statement_no", "position", "transaction_date", "posted_date",
+        *kept, "file", "statement_no", "position", "transaction_date", "posted_date",
         F.nullif("fitid", L("")).alias("reference_number"), "merchant_name", "amount",
         "currency", kind.alias("transaction_type"),
         F.when(C("trnamt").isNull(), "bad amount").alias("error"))

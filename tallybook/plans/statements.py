@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from tallybook.functions.dates import parse_statement_date
 from tallybook.functions.money import parse_statement_amount
 from tallybook.operators import statements as op
-from tallybook.session import cut_lineage
+from tallybook.session import cut_lineage, shared_folder
 from tallybook.sources import derived
 from tallybook.sources import statements as src
+from tallybook.sources.ofx_files import scan_ofx_files
 
 C, L = F.col, F.lit
 AS_OF = date(2001, 8, 1)
@@ -72,7 +74,15 @@ def _all_parsed(s, d):
     return _plain_parsed(s, d).unionByName(boxes)
 
 
+def _ofx_from_files(s, d):
+    """The texts of all OFX files written one behind the other, read record by record."""
+    folder = f"{shared_folder(s)}/ofx-{uuid.uuid4().hex}"
+    derived.ofx_files(s, d).select("content").write.text(folder)
+    return scan_ofx_files(s, [folder]).drop("path", "file", "statement_no", "position")
+
+
 QUERIES = {
+    "x1_scan_ofx_files": _ofx_from_files,
     "x1_scan_ofx": lambda s, d: op.scan_ofx(derived.ofx_files(s, d)).drop("transaction_type"),
     "x2_ofx_type": lambda s, d: op.scan_ofx(derived.ofx_files(s, d)).select(
         "file", "position", "transaction_type"),
