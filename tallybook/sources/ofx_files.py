@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallybook.functions.ids import with_dense_ids
+from tallybook.functions.money import to_cents
 from tallybook.operators.statements import ofx_tag, ofx_transactions
 from tallybook.session import cut_lineage
-from tallybook.sources.csv_files import decoded_path, literal_path
+from tallybook.sources.csv_files import decoded_path
 
 C, L = F.col, F.lit
 
@@ -26,7 +28,7 @@ def _records(spark: SparkSession, paths: list[str]) -> DataFrame:
         "value", rf"(?s)^.*?{_END}", "")).otherwise(C("value"))
     block = F.when(F.contains("value", L(_END)),
                    F.regexp_extract("value", rf"(?s)^(.*?){_END}", 1))
-    pieces = (spark.read.option("lineSep", "<STMTTRN>").text([literal_path(p) for p in paths])
+    pieces = (spark.read.option("lineSep", "<STMTTRN>").text(paths)
               .select(decoded_path(C("_metadata.file_path")).alias("path"),
                       decoded_path(C("_metadata.file_name")).alias("file"),
                       C("_metadata.file_block_start").alias("split"),
@@ -46,7 +48,7 @@ def scan_ofx_files(spark: SparkSession, paths: list[str],
     """Transactions of OFX files with `path`, the columns and the order numbers of `scan_ofx`.
 
     A large file is split; a transaction takes the currency of the last statement head before it,
-    which may lie in an earlier split. Within a split that is a running last value, whose groups no
+    which may lie in an earlier split. Paths may be patterns, as for `scan_csv`. Within a split that is a running last value, whose groups no
     split can outgrow; between splits it is one over a single row per split. A transaction outside
     every statement or without an end tag is left out. A statement that is never closed counts.
     """
@@ -79,3 +81,28 @@ def scan_ofx_files(spark: SparkSession, paths: list[str],
     blocks = placed.join(firsts, ["path", "statement_no"]).withColumn(
         "position", (C("number") - C("first")).cast("int"))
     return ofx_transactions(blocks, "path")
+
+
+def ofx_upload(spark: SparkSession, paths: list[str], user: Column | None = None,
+               default_currency: str = "CAD", first: int = 0) -> DataFrame:
+    """Rows of OFX files in the form of `parse_cells`, with `error` where one cannot be read.
+
+    row_idx counts from `first` without gaps in the order of the files; row_no is the place in the
+    statement, from 1. `user` is an expression over `path`, as for `scan_csv`. Transactions say
+    nothing of place, kind of merchant and card, so these are empty.
+    """
+    owner = user if user is not None else L(None).cast("string")
+    rows = with_dense_ids(scan_ofx_files(spark, paths, default_currency), "row_idx",
+                          ["path", "statement_no", "position"], first)
+    unknown = [L("").alias(c) for c in ("merchant_city", "merchant_state", "merchant_country",
+                                        "mcc_description", "card_number_masked", "cardholder")]
+    return rows.select(
+        "row_idx", (C("position") + 1).cast("long").alias("row_no"), owner.alias("user_id"),
+        C("file").alias("source_file"), "transaction_date", "posted_date",
+        F.coalesce("reference_number", L("")).alias("reference_number"), "merchant_name",
+        "amount", to_cents(C("amount")).alias("amount_cents"), "currency", "transaction_type",
+        *unknown, (C("transaction_type") == "transfer").alias("is_payment"),
+        (C("transaction_type") == "refund").alias("is_refund"),
+        F.when(C("error").isNotNull(), F.concat(
+            C("error"), L(" in statement "), (C("statement_no") + 1).cast("string")))
+        .alias("error"))

@@ -19,9 +19,11 @@ from tallybook.operators.keywords import keyword_rules
 from tallybook.session import cut_lineage
 from tallybook.sources.csv_files import literal_path, scan_csv
 from tallybook.sources.ledger_store import TableStore, new_batch, publish
+from tallybook.sources.ofx_files import ofx_upload
 
 C, L = F.col, F.lit
 
+OFX_NAMES = (".ofx", ".qfx")
 FILE_LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -74,6 +76,7 @@ def import_files(spark: SparkSession, paths: list[str], books: Books, token: str
                  user: Column | None = None, default_currency: str = "CAD") -> None:
     """Scan, suggest, de-duplicate and commit files as one upload per user.
 
+    Paths that end in .ofx or .qfx, in any case, are OFX files; all others are CSV exports.
     All tables are written under a new batch name, which is published last: an import that broke
     off anywhere left nothing that readers see, and repeating it does it whole. A token that is
     published adds nothing more. Files without a known header and rows that could not be read are
@@ -82,12 +85,22 @@ def import_files(spark: SparkSession, paths: list[str], books: Books, token: str
     if not books.ledger.published().where(C("token") == token).isEmpty():
         return
     batch = new_batch()
-    scan = scan_csv(spark, paths, user)
-    rejects = scan.rejected.select(
-        L(token).alias("token"), L(None).cast("string").alias("user_id"), "source_file",
-        L(None).cast("long").alias("row_idx"), "message")
-    if "date_raw" in scan.rows.columns:
-        parsed = cut_lineage(parse_cells(scan.rows, default_currency))
+    ofx = [p for p in paths if p.lower().endswith(OFX_NAMES)]
+    exports = [p for p in paths if p not in ofx]
+    rejects, parsed = spark.createDataFrame([], schemas.REJECTS), None
+    if exports:
+        scan = scan_csv(spark, exports, user)
+        rejects = rejects.unionByName(scan.rejected.select(
+            L(token).alias("token"), L(None).cast("string").alias("user_id"), "source_file",
+            L(None).cast("long").alias("row_idx"), "message"))
+        if "date_raw" in scan.rows.columns:
+            parsed = cut_lineage(parse_cells(scan.rows, default_currency))
+    if ofx:
+        first = 0 if parsed is None else parsed.agg(
+            F.coalesce(F.max("row_idx") + 1, L(0))).first()[0]
+        more = cut_lineage(ofx_upload(spark, ofx, user, default_currency, first))
+        parsed = more if parsed is None else parsed.unionByName(more)
+    if parsed is not None:
         good, errors = split_errors(parsed)
         rejects = rejects.unionByName(errors.withColumn("token", L(token)))
         _stage_rows(good, books, token, batch)
@@ -115,7 +128,8 @@ def _stage_rows(good: DataFrame, books: Books, token: str, batch: str) -> None:
 
 def stream_import(spark: SparkSession, in_dir: str, books: Books, checkpoint: str,
                   name: str = "statements", files_per_batch: int = 100,
-                  user: Column | None = None) -> StreamingQuery:
+                  user: Column | None = None,
+                  default_currency: str = "CAD") -> StreamingQuery:
     """Import the files of a folder and those that arrive later, each exactly once.
 
     Only file names travel through the stream; every micro-batch commits its files against the
@@ -123,14 +137,15 @@ def stream_import(spark: SparkSession, in_dir: str, books: Books, checkpoint: st
     """
     files = (spark.readStream.format("binaryFile").schema(FILE_LISTING)
              .option("maxFilesPerTrigger", files_per_batch)
-             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,CSV,ofx,OFX,qfx,QFX}")
              .load(in_dir).select("path"))
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         # at most files_per_batch names
         paths = [literal_path(r["path"]) for r in batch.collect()]
         if paths:
-            import_files(batch.sparkSession, paths, books, f"{name}-{batch_id}", user)
+            import_files(batch.sparkSession, paths, books, f"{name}-{batch_id}", user,
+                         default_currency)
 
     return (files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -6,7 +6,9 @@ import pytest
 
 from tallybook import schemas
 from tallybook.operators import statements as op
+from tallybook.sources.csv_files import literal_path
 from tallybook.sources.ofx_files import _records, scan_ofx_files
+from tallybook.streaming.imports import Books, import_files, stream_import
 
 SMALL = {"spark.sql.files.maxPartitionBytes": "600", "spark.sql.files.openCostInBytes": "0"}
 
@@ -54,7 +56,7 @@ def test_split_files_read_like_whole_texts(spark, small_splits, tmp_path):
     texts = _texts()
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text.encode())
-    paths = [str(tmp_path / name) for name in texts]
+    paths = [literal_path(str(tmp_path / name)) for name in texts]
     whole = op.scan_ofx(spark.createDataFrame(list(texts.items()), schemas.OFX_FILES), "CHF")
     splits = _records(spark, paths).groupBy("file").agg({"split": "max"}).collect()
     assert max(r[1] for r in splits) > 2000  # the long files are cut several times
@@ -69,3 +71,28 @@ def test_transactions_without_end_are_left_out_and_open_statements_count(spark,
     found = scan_ofx_files(spark, [str(tmp_path / "a.ofx")]).orderBy("position").collect()
     assert [(r["reference_number"], r["position"], r["currency"]) for r in found] == [
         ("1", 0, "USD"), ("2", 1, "USD")]
+
+
+def test_csv_and_ofx_in_one_import(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text("Date,Description,Amount\n2024-03-01,Bakery,3.50\n")
+    texts = _texts()
+    (inbox / "b [1].OFX").write_bytes(texts["many [1].ofx"].encode())
+    paths = [literal_path(str(p)) for p in sorted(inbox.iterdir())]
+    books = Books.at(spark, str(tmp_path / "books"))
+    for _ in range(2):  # the second call repeats a published token
+        import_files(spark, paths, books, "t", default_currency="CHF")
+    rows = books.ledger.read().collect()
+    odd = [n for n in range(24) if n % 13 == 5]
+    assert len(rows) == 1 + 24 - len(odd) and len({r["id"] for r in rows}) == len(rows)
+    assert {r["currency"] for r in rows} == {"CHF", "USD", "EUR"}
+    errors = books.rejects.read().collect()
+    assert {r["source_file"] for r in errors} == {"b [1].OFX"} and len(errors) == len(odd)
+    assert all("bad amount in statement" in r["message"] for r in errors)
+    # the same file under another name adds nothing, a new one its rows; both found by the stream
+    (inbox / "c.ofx").write_bytes(texts["many [1].ofx"].encode())
+    (inbox / "d.qfx").write_bytes(texts["outside.ofx"].replace("<FITID>2", "<FITID>902").encode())
+    stream_import(spark, str(inbox), books, str(tmp_path / "progress"),
+                  default_currency="CHF").awaitTermination()
+    assert books.ledger.read().count() == len(rows) + 1
