@@ -166,8 +166,9 @@ def rare_partners(rows: DataFrame, held: DataFrame, similarity: int = SIMILARITY
     """Pairs (a, b) of rows(id, n, component) of different components that can be similar enough.
 
     An exact prefix filter: with all shingles in one order, the rarest first, two sets that reach
-    the similarity share one of the first n - ceil(similarity * n) + 1 of each. So a passage that
-    many texts share makes no pairs unless it is among the rarest quarter of both.
+    the similarity share a shingle with so much left of both, from it to the end of the order, that
+    the overlap they need can still be met. So a passage that many texts share makes no pairs
+    unless it begins in the rarest quarter of the larger set and the rarest seventh of the other.
     """
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +188,21 @@ def rare_partners(rows: DataFrame, held: DataFrame, similarity: int = SIMILARITY
         .withColumn("n_shared", F.count("*").over(Window.partitionBy("id"))) \
         .join(rows, "id")
     # shingles of one set alone come first in its order and meet nothing
-    reach = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
-    prefix = stored(kept.where(F.col("place") <= reach - (F.col("n") - F.col("n_shared")))
-                    .select("id", "n", "component", "code"))
-    side = {x: prefix.select("code", F.col("id").alias(x), F.col("n").alias(f"n_{x}"),
-                             F.col("component").alias(f"component_{x}")) for x in "ab"}
-    across = side["a"].join(side["b"], "code").where("a < b and component_a <> component_b")
-    return _alike_sizes(across, similarity).select("a", "b").distinct()
+    at = F.col("place") + F.col("n") - F.col("n_shared")
+    prefix = stored(kept.withColumn("left", F.col("n") - at + 1)
+                    .where(100 * F.col("left") >= similarity * F.col("n"))
+                    .select("id", "n", "component", "code", "left"))
+    # of two sets at the similarity the smaller one holds more of the shared shingles
+    short = (100 + similarity) * F.col("left") >= 2 * similarity * F.col("n")
+    side = {x: rows.select("code", *[F.col(c).alias(f"{c}_{x}")
+                                     for c in ("id", "n", "component", "left")])
+            for x, rows in (("a", prefix.where(short)), ("b", prefix))}
+    enough = ((100 + similarity) * F.least("left_a", "left_b")
+              >= similarity * (F.col("n_a") + F.col("n_b")))
+    across = side["a"].join(side["b"], "code").where(
+        "(n_a < n_b or n_a = n_b and id_a < id_b) and component_a <> component_b").where(enough)
+    return _alike_sizes(across, similarity).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:

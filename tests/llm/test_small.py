@@ -429,6 +429,32 @@ def test_texts_that_share_a_passage_make_few_pairs(spark):
     assert len(pairs) < 2 * len(rows)  # all pairs: some 40,000
 
 
+def test_sets_just_below_the_similarity_make_few_pairs(spark):
+    """Texts that share eight tenths of their shingles, of unlike lengths, some near copies."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(110)]
+    rows = []
+    for i in range(150):
+        own = [f"w{x}" for x in rng.integers(0, 10 ** 6, 26 + i % 9)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 10 == 0:
+            cut = int(rng.integers(1, 30))  # shorter copies, on both sides of the bound
+            rows.append((200 + i, " ".join(passage[cut:] + own)))
+            rows.append((400 + i, " ".join(passage + own[:-int(rng.integers(1, 20))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+            for i, w in ((i, t.split()) for i, t in rows)}
+    linked = {(a, b) for a, b in itertools.combinations(sorted(sets), 2)
+              if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    given = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()],
+                                  "id long, n long, component long")
+    pairs = {(r.a, r.b) for r in near_dedup.rare_partners(given, docs).collect()}
+    assert len(linked) > 20 and linked <= pairs
+    assert len(pairs) < 3 * len(rows)  # all pairs: some 16,000
+    found = near_dedup.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == _components(rows)
+
+
 def test_texts_with_markers_and_nul_decode_to_themselves(spark):
     odd = ["a\u2581\0literal", "\u2581\0literal", "literal\u2581", "\u2581literal\u2581 x",
            "\0", " \u2581 \u2581\u2581", "literal"]
