@@ -40,6 +40,7 @@ define("stmt_cells", f"""
            END AS cells
     FROM (SELECT *, format('{{:,.2f}}', l_extendedprice) AS pretty,
                  CASE WHEN l_partkey % 31 = 4 THEN 'n/a'
+                      WHEN l_orderkey % 3 = 1 THEN strftime(ship_day, '%b %d') || {NL} || 'posted'
                       ELSE strftime(ship_day, '%b %-d, %Y') || {NL} || 'posted' END AS day,
                  CASE WHEN l_partkey % 29 = 5 THEN 'Closing balance'
                       ELSE p_name || {NL} || p_brand END AS name
@@ -154,18 +155,21 @@ define("scan_rows", _line_rows(True, r"credit\s*memo|direct\s*deposit|refund|rev
        "dated_lines", "stmt_years")
 define("plain_rows", _line_rows(False, None), "dated_lines", "stmt_years")
 
+# Column titles of tables inside statements.
 _ALIASES = {
-    "date": "date|transaction date|trans. date|trans date|activity date|value date|post date",
-    "merchant": "description|merchant|merchant name|payee|details|memo|narrative|particulars",
-    "amount": "amount|transaction amount|cad amount|net amount",
-    "debit": "debit|withdrawals|withdrawal|debit amount",
-    "credit": "credit|deposits|deposit|credit amount",
+    "date": ["date", "transaction date", "trans. date", "trans date", "activity date",
+             "value date", "post date", "posted date"],
+    "merchant": ["description", "merchant", "merchant name", "payee", "details", "memo",
+                 "narrative", "particulars", "transaction description"],
+    "amount": ["amount", "transaction amount", "cad amount", "net amount"],
+    "debit": ["debit", "withdrawals", "withdrawal", "debit amount"],
+    "credit": ["credit", "deposits", "deposit", "credit amount"],
 }
 
 
 def _at(field: str) -> str:
     return "coalesce(" + ", ".join(
-        f"nullif(list_position(h, '{a}'), 0)" for a in _ALIASES[field].split("|")) + ")"
+        f"nullif(list_position(h, '{a}'), 0)" for a in _ALIASES[field]) + ")"
 
 
 def _cell_rows(skip_zero: bool, short_rows: bool, one_line: bool = True) -> str:
@@ -179,7 +183,7 @@ def _cell_rows(skip_zero: bool, short_rows: bool, one_line: bool = True) -> str:
                 WHEN transaction_date IS NULL AND date_text <> '' THEN 'bad date'
                 WHEN value IS NULL THEN 'bad amount'
                 WHEN {skip_zero} AND split AND value = 0 THEN 'zero amount' END AS error
-    FROM (SELECT *, {_day('date_text', '2001')} AS transaction_date,
+    FROM (SELECT *, {_day('date_text', 'year')} AS transaction_date,
                  CASE WHEN split THEN CASE WHEN debit <> 0 THEN debit ELSE -credit END
                       ELSE {_value('single')} END AS value
           FROM (SELECT *, trim(split_part(coalesce(c[d_at], ''), {NL}, 1)) AS date_text,
@@ -193,8 +197,8 @@ def _cell_rows(skip_zero: bool, short_rows: bool, one_line: bool = True) -> str:
                        {not short_rows} AND len(c) < greatest(coalesce(d_at, 1), coalesce(m_at, 1),
                          coalesce(a_at, 1), coalesce(w_at, 1), coalesce(p_at, 1)) AS short
                 FROM (SELECT s.*, list_transform(s.cells, lambda x: trim(x)) AS c, t.*
-                        EXCLUDE (file)
-                      FROM stmt_cells s JOIN (
+                        EXCLUDE (file), y.year
+                      FROM stmt_cells s JOIN stmt_years y ON y.file = s.file JOIN (
                         SELECT file, {_at('date')} AS d_at, {_at('merchant')} AS m_at,
                                {_at('amount')} AS a_at, {_at('debit')} AS w_at,
                                {_at('credit')} AS p_at
@@ -205,8 +209,8 @@ def _cell_rows(skip_zero: bool, short_rows: bool, one_line: bool = True) -> str:
                OR regexp_matches(merchant, '{_SKIP}')))"""
 
 
-define("cell_rows", _cell_rows(False, False), "stmt_cells")
-define("stream_rows", _cell_rows(True, True, False), "stmt_cells")
+define("cell_rows", _cell_rows(False, False), "stmt_cells", "stmt_years")
+define("stream_rows", _cell_rows(True, True, False), "stmt_cells", "stmt_years")
 define("page_lines", """
     SELECT file, page, CAST(round_even(top / 4, 0) * 4 AS INTEGER) AS y,
            string_agg(text, ' ' ORDER BY x0, text) AS text
@@ -299,10 +303,11 @@ SQL = {
     "p1_statement_lines": over("line_rows")("SELECT * FROM line_rows"),
     "p1_scanned_lines": over("scan_rows")("SELECT * FROM scan_rows"),
     "p2_infer_year": over("stmt_years")("SELECT * FROM stmt_years"),
-    "p3_statement_date": over("stmt_cells")(f"""
-        SELECT file, row_no, place, {_day('t', '2001')} AS day
-        FROM (SELECT file, row_no, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS place,
-                     trim(split_part(trim(unnest(cells)), {NL}, 1)) AS t FROM stmt_cells)"""),
+    "p3_statement_date": over("stmt_cells", "stmt_years")(f"""
+        SELECT file, row_no, place, {_day('t', 'year')} AS day
+        FROM (SELECT file, year, row_no, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS place,
+                     trim(split_part(trim(unnest(cells)), {NL}, 1)) AS t
+              FROM stmt_cells JOIN stmt_years USING (file))"""),
     "p4_statement_amount": over("stmt_cells")(f"""
         SELECT file, row_no, place, {_value('t')} AS amount
         FROM (SELECT file, row_no, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS place,

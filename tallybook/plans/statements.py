@@ -24,7 +24,8 @@ def _lines(s, d, **options):
 
 
 def _years(s, d):
-    return src.statement_cells(s, d).select("file").distinct().withColumn("year", L(2001))
+    """The year each file's own text gives, for dates without one."""
+    return op.infer_year(src.statement_lines(s, d), AS_OF)
 
 
 def _cells(s, d, **options):
@@ -90,9 +91,9 @@ QUERIES = {
     "p1_scanned_lines": lambda s, d: _lines(
         s, d, credit_words=op.SCAN_CREDIT_WORDS),
     "p2_infer_year": lambda s, d: op.infer_year(src.statement_lines(s, d), AS_OF),
-    "p3_statement_date": lambda s, d: src.statement_cells(s, d).select(
-        "file", "row_no", F.posexplode("cells").alias("place", "cell")).select(
-        "file", "row_no", "place", parse_statement_date(C("cell"), L(2001)).alias("day")),
+    "p3_statement_date": lambda s, d: src.statement_cells(s, d).join(_years(s, d), "file").select(
+        "file", "row_no", "year", F.posexplode("cells").alias("place", "cell")).select(
+        "file", "row_no", "place", parse_statement_date(C("cell"), C("year")).alias("day")),
     "p4_statement_amount": lambda s, d: src.statement_cells(s, d).select(
         "file", "row_no", F.posexplode("cells").alias("place", "cell")).select(
         "file", "row_no", "place", parse_statement_amount(C("cell")).alias("amount")),
