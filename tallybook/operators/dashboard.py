@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.functions.dates import month_floor, month_label, parse_months, shift_month
+from tallybook.functions.dates import month_floor, month_label, parse_months
 from tallybook.functions.joins import null_safe_join
 from tallybook.functions.money import from_cents, tenths_of_percent
 from tallybook.operators.listing import filter_ledger, null_safe_left
@@ -129,8 +129,3 @@ def rule_counts(rules: DataFrame, ledger: DataFrame) -> DataFrame:
               .agg(F.count(L(1)).alias("n")))
     return null_safe_left(rules.select("id", "user_id"), linked, "id").select(
         "id", "user_id", F.coalesce("n", L(0)).alias("transaction_count"))
-
-
-def last_months(as_of: date, count: int = 6) -> str:
-    """The `count` months up to as_of as a comma list."""
-    return ",".join(shift_month(as_of, -i).strftime("%Y-%m") for i in range(count - 1, -1, -1))

@@ -12,7 +12,7 @@ from tallybook.functions.dates import (
     month_floor, month_ranges, month_text, parse_month, parse_months, shift_month,
 )
 from tallybook.functions.joins import null_safe_join, scoped
-from tallybook.functions.money import any_of, cents_text, from_cents, tenths_of_percent, to_cents
+from tallybook.functions.money import any_of, cents_text, from_cents, tenths_of_percent
 from tallybook.operators.duplicates import DUPLICATE_KEY, with_duplicate_key
 
 C, L = F.col, F.lit
@@ -53,14 +53,15 @@ def in_date_range(date_from: str | None, date_to: str | None) -> Column | None:
 
 
 def matches_search(search: str | None, wildcards: bool = False) -> Column | None:
-    """Text or amount search; `wildcards` keeps % and _ of the text live."""
+    """Text or amount search; `wildcards` keeps % and _ of the text live, a backslash is itself."""
     text = (search or "").strip()
     if not text:
         return None
     amount_text = cents_text(C("amount_cents"))
 
     def has(column: Column, needle: str) -> Column:
-        found = (column.ilike(f"%{needle}%") if wildcards
+        pattern = needle.replace("\\", "\\\\")
+        found = (column.ilike(f"%{pattern}%") if wildcards
                  else F.contains(F.lower(column), L(needle.lower())))
         return F.coalesce(found, L(False))
 
@@ -323,7 +324,3 @@ def large_expenses(ledger: DataFrame, categories: DataFrame, *, user: object = A
 def ordered_by_name(owned: DataFrame) -> DataFrame:
     """Categories or accounts in name order per user."""
     return owned.orderBy(C("user_id").asc_nulls_first(), "name", "id")
-
-
-def with_cents(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("amount_cents", to_cents(C("amount")))

@@ -49,3 +49,10 @@ def test_pages_and_wildcards(spark):
     assert page.count() == 30
     assert listing.filter_ledger(books, search="shop%7", wildcards=True).count() == 3
     assert listing.filter_ledger(books, search="shop%7").count() == 0
+
+
+def test_a_backslash_is_searched_as_itself(spark):
+    books = ledger(spark, dict(merchant_name=r"Co\op 100%"), dict(merchant_name="Coop 1000"))
+    for search in (r"o\o", r"co\op _00", "\\"):
+        found = listing.filter_ledger(books, search=search, wildcards=True).collect()
+        assert [r["id"] for r in found] == [1], search

@@ -128,6 +128,23 @@ def test_table_cells(spark):
     assert {r["error"] for r in bare.collect()} == {"table not recognised"}
 
 
+def test_cell_dates_take_the_year_of_their_file(spark):
+    lines = spark.createDataFrame(
+        [("a.pdf", 1, "no year"), ("a.pdf", 2, "Period to 2031"), ("b.pdf", 1, "nothing")],
+        "file string, line_no int, text string")
+    head = ["Posted Date", "Transaction Description", "Amount"]
+    cells = spark.createDataFrame(
+        [(f, 1, 0, i, c) for f in ("a.pdf", "b.pdf", "c.pdf") for i, c in enumerate(
+            [head, ["Mar 09", "Lamp", "7.25"], ["Mar 9, 2019", "Desk", "81.00"]])],
+        schemas.STATEMENT_CELLS)
+    got = op.extract_cells(cells, op.infer_year(lines, day("2024-05-06"))).orderBy(
+        "file", "row_no").collect()
+    assert [(r["file"], r["transaction_date"], r["error"]) for r in got] == [
+        ("a.pdf", day("2031-03-09"), None), ("a.pdf", day("2019-03-09"), None),
+        ("b.pdf", day("2024-03-09"), None), ("b.pdf", day("2019-03-09"), None),
+        ("c.pdf", None, "bad date"), ("c.pdf", day("2019-03-09"), None)]
+
+
 def test_ofx(spark):
     text = ("<OFX><STMTRS><CURDEF>CAD<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20230605120000"
             "<TRNAMT>-45.67<FITID>1<NAME>Tim Hortons</STMTTRN><STMTTRN><TRNTYPE>DIRECTDEP"
