@@ -16,7 +16,7 @@ from tallybook.operators.ingest import (
     detect_period, parse_cells, split_errors, suggest_category,
 )
 from tallybook.operators.keywords import keyword_rules
-from tallybook.session import cut_lineage
+from tallybook.session import cut_lineage, scratch
 from tallybook.sources.csv_files import literal_path, scan_csv
 from tallybook.sources.ledger_store import TableStore, new_batch, publish
 from tallybook.sources.ofx_files import ofx_upload
@@ -84,17 +84,24 @@ def import_files(spark: SparkSession, paths: list[str], books: Books, token: str
     """
     if not books.ledger.published().where(C("token") == token).isEmpty():
         return
+    with scratch(spark):  # everything that lasts is in the books
+        _import_files(spark, paths, books, token, user, default_currency)
+
+
+def _import_files(spark: SparkSession, paths: list[str], books: Books, token: str,
+                  user: Column | None, default_currency: str) -> None:
     batch = new_batch()
     ofx = [p for p in paths if p.lower().endswith(OFX_NAMES)]
     exports = [p for p in paths if p not in ofx]
     rejects, parsed = spark.createDataFrame([], schemas.REJECTS), None
     if exports:
-        scan = scan_csv(spark, exports, user)
+        with scratch(spark) as lasting:  # the cells as landed are not needed beside parsed rows
+            scan = scan_csv(spark, exports, user)
+            if "date_raw" in scan.rows.columns:
+                parsed = lasting(parse_cells(scan.rows, default_currency))
         rejects = rejects.unionByName(scan.rejected.select(
             L(token).alias("token"), L(None).cast("string").alias("user_id"), "source_file",
             L(None).cast("long").alias("row_idx"), "message"))
-        if "date_raw" in scan.rows.columns:
-            parsed = cut_lineage(parse_cells(scan.rows, default_currency))
     if ofx:
         first = 0 if parsed is None else parsed.agg(
             F.coalesce(F.max("row_idx") + 1, L(0))).first()[0]
