@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+from tallybook import schemas
 from tallybook.operators import commit, dedup
 from tallybook.session import cut_lineage, scratch, shared_folder
+from tallybook.sources.ledger_store import TableStore
 from tests import helpers as make
 
 
@@ -17,6 +19,13 @@ def _cuts(spark):
     return {f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("cut-")}
 
 
+def test_rows_of_a_batch_are_not_gathered_in_one_task(spark, tmp_path):
+    store = TableStore(spark, f"{tmp_path}/ledger", schemas.LEDGER, "transaction_date")
+    store.append(make.ledger(spark, dict(user_id="a"), dict(user_id=None)))
+    assert "hashpartitioning(batch" not in _plan(store.read())
+    assert store.read().count() == 2
+
+
 def test_rows_are_not_dealt_by_user_for_the_default_card(spark):
     rows = make.upload(spark, dict(user_id="a", card_number_masked="1"), dict(user_id="a"),
                        dict(user_id=None))
