@@ -8,6 +8,7 @@ from tallybook import schemas
 from tallybook.operators import commit, dedup
 from tallybook.session import cut_lineage, scratch, shared_folder
 from tallybook.sources.ledger_store import TableStore
+from tallybook.sources.statements import statement_lines
 from tests import helpers as make
 
 
@@ -52,3 +53,12 @@ def test_a_table_kept_from_a_scratch_block_stays(spark):
         assert first.count() == 3
         inside = _cuts(spark)
     assert kept.count() == 3 and len(inside - _cuts(spark)) == 1
+
+
+def test_statement_lines_order_their_lines_once(spark, sf_dir):
+    """The heads of a file come from the pass that makes its rows."""
+    lines = statement_lines.__wrapped__(spark, sf_dir)
+    text = _plan(lines)
+    assert text.count("row_number(") <= 2 and "Union" not in text
+    first = lines.filter("line_no = 1")
+    assert first.count() == lines.select("file").distinct().count()
