@@ -7,6 +7,10 @@ queue ordered by its distance to the planes it would have to cross, and takes th
 the forest's leaves. Vectors and queries meet by leaf in blocks; exact inner products in double
 precision rank what was found.
 
+The blocks of a query's leaves are taken in the order of its queue, in rounds that grow by `GROWTH`.
+The (k + 1)-th best score so far goes with the query into the next round, and a block returns only
+what reaches it, so the rows found grow with the queries, and not with the leaves they visit.
+
 Equal vectors are one class that carries its k + 1 smallest ids, which is all a result can need; a
 leaf that holds many vectors is dealt to several blocks. A query meets only the leaves it asked for.
 
@@ -26,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tallybook.llm.common import prepared, stored
 
@@ -34,6 +39,7 @@ LEAF = 2_048     # sampled vectors of a leaf at most
 TREES = 4
 SHARE = 0.45     # of all leaves of the forest that one query visits
 BLOCK = 8_192    # vectors of a leaf that meet the queries in one group
+GROWTH = 8       # blocks met after a round, as a multiple of those met before it
 SALTS = 16
 
 
@@ -126,20 +132,40 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (size or 0))
 
 
-def _best(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(q_id, q_hash, vec_id, score): the k best ids of every query among one block."""
+@F.pandas_udf(BinaryType())
+def packed(v: pd.Series) -> pd.Series:
+    """The components' bytes, in single precision where that holds all of them exactly."""
+    def one(x: np.ndarray) -> bytes:
+        with np.errstate(over="ignore"):
+            short = x.astype(np.float32)
+        return (short if (short == x).all() else x).tobytes()
+
+    return v.map(one)
+
+
+def _unpacked(v: pd.Series, size: int) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.float32 if len(x) == 4 * size else np.float64)
+                     .astype(np.float64) for x in v])
+
+
+def _best(index: pd.DataFrame, queries: pd.DataFrame, k: int, size: int) -> pd.DataFrame:
+    """(q_id, q_hash, vec_id, score): the k best ids of every query among one block that reach the
+    query's bound."""
     out: dict[str, list] = {"q_id": [], "q_hash": [], "vec_id": [], "score": []}
-    x = np.stack(index["v"].to_list()) if len(index) else None
+    x = _unpacked(index["p"], size) if len(index) else None
     ids = index["ids"].to_list()
     for low in range(0, len(queries) if len(index) else 0, 256):
         part = queries.iloc[low:low + 256]
-        y = np.stack(part["v"].to_list())
+        y = _unpacked(part["p"], size)
         products = y @ x.T
         edge = np.partition(products, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
-        for i, (q_id, q_hash) in enumerate(zip(part["q_id"], part["q_hash"])):
-            near = np.flatnonzero(products[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i])))
+        for i, (q_id, q_hash, least) in enumerate(zip(part["q_id"], part["q_hash"],
+                                                      part["least"])):
+            at_least = max(edge[i], least)
+            near = np.flatnonzero(products[i] >= at_least - 1e-9 * max(1.0, abs(at_least)))
             scores = (x[near] * y[i]).sum(axis=1)
-            found = [(-s, v) for s, j in zip(scores.tolist(), near) for v in ids[j].tolist()]
+            found = [(-s, v) for s, j in zip(scores.tolist(), near) if s >= least
+                     for v in ids[j].tolist()]
             for s, v in heapq.nsmallest(k, found):
                 out["q_id"].append(q_id)
                 out["q_hash"].append(q_hash)
@@ -172,23 +198,47 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
     def probes(v: pd.Series) -> pd.Series:
         return pd.Series(sent.value.probes(np.stack(v.to_list()), share))
 
-    filed = stored(classes.select("v", "ids", F.explode(cells("v")).alias("cell")))
+    size = len(fitted[0])
+    filed = stored(classes.select(packed("v").alias("p"), "ids", cells("v").alias("cells"))) \
+        .select("p", "ids", F.explode("cells").alias("cell"))
     sizes = {r.cell: r["count"] for r in filed.groupBy("cell").count().collect()}  # a row per leaf
     blocks = F.array(*(F.lit(max(1, math.ceil(sizes.get(c, 0) / BLOCK)))
                        for c in range(sent.value.leaves)))
-    index = filed.withColumn("block", F.pmod(F.xxhash64("v"), blocks[F.col("cell")]).cast("int"))
+    index = filed.withColumn("block", F.pmod(F.xxhash64("p"), blocks[F.col("cell")]).cast("int"))
     kinds = queries.groupBy("v").agg(F.min("vec_id").alias("q_id")) \
         .withColumn("q_hash", F.xxhash64("v"))
-    kinds = stored(kinds)
-    asked = kinds.select("q_id", "q_hash", "v", F.explode(probes("v")).alias("cell")) \
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
-    found = index.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(
-        lambda a, b: _best(a, b, k + 1), "q_id long, q_hash long, vec_id long, score double")
+    # the blocks of a query's leaves, in the order of its queue
+    visits = F.flatten(F.transform("cells", lambda c: F.transform(
+        F.sequence(F.lit(0), blocks[c] - 1), lambda b: F.struct(c.alias("cell"), b.alias("block")))))
+    kinds = stored(kinds.withColumn("cells", probes("v")).select(
+        "q_id", "q_hash", "v", packed("v").alias("p"), visits.alias("visits")))
+    longest = kinds.agg(F.max(F.size("visits")).alias("n")).first()["n"] or 0
     best = Window.partitionBy("q_id", "q_hash").orderBy(F.desc("score"), "vec_id")
-    top = found.groupBy("q_id", "q_hash", "vec_id").agg(F.max("score").alias("score")) \
-        .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1) \
-        .groupBy("q_id", "q_hash").agg(F.array_sort(F.collect_list(
-            F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("top"))
+    found, low, high = None, 0, trees
+    while low < longest:
+        asked = kinds.select("q_id", "q_hash", "p",
+                             F.slice("visits", low + 1, high - low).alias("visits"))
+        if found is None:
+            asked = asked.withColumn("least", F.lit(float("-inf")))
+        else:
+            bound = found.groupBy("q_id", "q_hash").agg(
+                F.min("score").alias("least"), F.count(F.lit(1)).alias("n")) \
+                .where(F.col("n") > k).drop("n")
+            asked = asked.join(bound, ["q_id", "q_hash"], "left") \
+                .fillna(float("-inf"), ["least"])
+        asked = asked.select("q_id", "q_hash", "p", "least", F.inline("visits"))
+        more = index.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")) \
+            .applyInPandas(lambda a, b: _best(a, b, k + 1, size),
+                           "q_id long, q_hash long, vec_id long, score double")
+        found = stored((more if found is None else found.unionByName(more))
+                       .groupBy("q_id", "q_hash", "vec_id").agg(F.max("score").alias("score"))
+                       .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+                       .drop("n"))
+        low, high = high, high * GROWTH
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    top = found.groupBy("q_id", "q_hash").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("top"))
     lists = kinds.join(top, ["q_id", "q_hash"]).select(
         "v", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = queries.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))

@@ -144,6 +144,32 @@ def test_neighbours_against_brute_force(spark):
     assert forest.nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_found_grow_with_the_queries_not_with_their_leaves(spark, monkeypatch):
+    """All leaves visited: the result is exact, and a block returns only what reaches the bound."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 8))
+    x[::2] = x[::2].astype(np.float32)  # half of the rows fit single precision
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                  "vec_id long, embedding array<double>")
+    made, real = spark.sparkContext.accumulator(0), forest._best
+
+    def counted(*args):
+        out = real(*args)
+        made.add(len(out))
+        return out
+
+    monkeypatch.setattr(forest, "_best", counted)
+    out = forest.nearest(table, k=5, every=40, trees=2, leaf=16, share=1.0).collect()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out}
+    exact = {}
+    for q in range(0, 1200, 40):
+        scores = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(1200), -scores)) if i != q][:5]
+        exact |= {(q, n): (i, pytest.approx(scores[i], abs=1e-12)) for n, i in enumerate(order, 1)}
+    assert got == exact
+    assert made.value < 30 * 250  # 30 queries visit 256 leaves each; 6 rows a leaf would be 46,080
+
+
 def test_context_tree_equals_the_sequential_mixture(spark):
     """One text learnt, one scored: the batch weights against a recursion written out."""
     learnt, asked = "abracadabra abracadabra", "abra"
