@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -223,6 +224,37 @@ def test_context_tree_equals_the_sequential_mixture(spark):
     assert row.base_score == pytest.approx(np.log10(1 / 6) + np.log10(2 / 6))
 
 
+def test_context_tree_packs_windows_by_bucket(spark):
+    """A chunk is a row and one per bucket, not a row per window; its keys and numbers come back."""
+    texts = [f"word{i} and {i * 7919} more, naïve {chr(0x4e00 + i)}" for i in range(400)] + [None, ""]
+    ids = [*range(400), None, 401]
+    table = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+    rows = context_tree.chunks(table).where("kind is not null").toArrow()
+    learnt = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i in ids]
+    want = Counter()
+    for t, n in zip(texts, learnt):
+        want.update({g: 0 for g in context_tree.windows(t).tolist()})
+        want.update(context_tree.windows(t).tolist() if n else [])
+    assert len(rows) <= 2 * context_tree.BUCKETS < len(want)
+    got = {}
+    for b in range(context_tree.BUCKETS):
+        own = rows.filter([k == context_tree.GRAM and x == b for k, x in zip(
+            rows["kind"].to_pylist(), rows["bucket"].to_pylist())])
+        keys, n, places = context_tree.merged(own)
+        got |= dict(zip(keys.tolist(), n.tolist()))
+        assert sum(map(len, places)) == len(keys)
+    assert got == want
+
+
+def test_context_tree_of_several_chunks_equals_one(spark):
+    rows = [(i, f"the {i % 7} cats and {i} dogs") for i in range(90)] + [(3, "again"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.score, 9),
+                          round(r.base_score, 9)) for r in context_tree.scored(t).collect()))
+                 for t in (table.coalesce(1), table.repartition(7)))
+    assert one == many and len(one) == 92
+
+
 def test_token_files_round_trip(tmp_path, docs):
     own = token_files.encoder(token_files.vocabulary())
     texts = [t or "" for t in TEXTS] + ["x <|endoftext|> y", "a\x1cb\x85c", "it's  we'll \n\n 12³"]
