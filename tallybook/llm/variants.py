@@ -6,14 +6,14 @@ edge table (side, node, first letter, label, child): a node is a prefix at which
 apart, known by a 128-bit hash of the prefix, and an edge carries all letters up to the next node, so
 the depth of a walk follows the branching, not the length of a word.
 
-Two words one edit apart agree before or after the middle of the first. So every word starts at the
-first node at or beyond its middle, in both tries, as a state (word, position, node, edits = 0), and
-levels of joins with the edge table move the frontier: along the word's own edge the edits stay, and
-at a node a state without edits also gives one state for a letter left out and, for every other edge,
-one for its letter inserted and one for its letter in place of the word's. States with one edit only
-follow the word's own letters. A state with one edit at the end of its word at a node where a word
-ends is a pair of neighbours. A node has one edge a letter, so levels grow with the words, not with
-their pairs, and nothing is capped.
+Two words one edit apart agree before or after the middle of the first. So every word starts at its
+own nodes at or beyond its middle, in both tries, as states (word, position, node) without an edit; the
+tries hold no prefixes shorter than that of words a letter longer. One join with the edge table makes
+the edit: at a node a letter is left out before an edge or, for every edge but the word's own, its
+letter is inserted or stands in place of the word's. Levels of joins then move the frontier of states
+with one edit, which only follow the word's own letters. A state with one edit at the end of its word
+at a node where a word ends is a pair of neighbours. A node has one edge a letter, so levels grow with
+the words, not with their pairs, and nothing is capped.
 
 Defined results: a null text has no words; a null doc_id counts as an empty id text; repeated rows
 count repeatedly; very long runs are words like any other; ties of the form go to the smaller word
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import batch, prepared, stored
@@ -38,23 +38,25 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 RATIO = 2        # a form is at least so many times as frequent
 DIVISOR = 97     # of the hash that leaves a letter out of a run
 KEPT = 300_000   # different words a task counts before it hands them on
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-ASCII_RUN = re.compile(b"[a-z]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
-
+SIDES = "<>"     # read forwards, read backwards
 C, L = F.col, F.lit
 
 
-def runs(doc_id: int | None, text: str, least: int = LEAST_LENGTH) -> Iterator[tuple[bytes, int]]:
-    """(result in UTF-8, occurrences) of every different run of a text."""
+def patterns(least: int) -> tuple[re.Pattern, re.Pattern]:
+    """Maximal runs of at least so many letters, of ASCII bytes and of any text."""
+    return re.compile(b"[a-z]{%d,}" % least), re.compile("[a-z\u00C0-\u00FF]{%d,}" % least)
+
+
+def runs(doc_id: int | None, text: bytes, least: int = LEAST_LENGTH) -> Iterator[tuple[bytes, int]]:
+    """(result in UTF-8, occurrences) of every different run of a text in UTF-8."""
+    plain, any_letters = patterns(least)
+    text = text.lower()  # of bytes: A-Z alone
     if text.isascii():
-        found = Counter(ASCII_RUN.findall(text.encode().lower()))
+        found = Counter(plain.findall(text))
     else:
-        found = {w.encode(): n for w, n in Counter(RUN.findall(text.translate(LOWER))).items()}
+        found = {w.encode(): n for w, n in Counter(any_letters.findall(text.decode())).items()}
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
     for run, n in found.items():
-        if len(run) < least:
-            continue
         code = zlib.crc32(run, start)
         if code % DIVISOR == 0:
             letters = run.decode()
@@ -71,8 +73,9 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH,
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for word, n in runs(doc_id, text or "", least_length):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(),
+                                    b.column("text").cast(pa.binary()).to_pylist()):
+                for word, n in runs(doc_id, text or b"", least_length):
                     held[word] += n
                 if len(held) > KEPT:
                     yield batch({"word": [w.decode() for w in held], "n": list(held.values())},
@@ -89,94 +92,85 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH,
 
 
 def prefixes(words: DataFrame) -> DataFrame:
-    """side, s, m, pos, node, ch: every prefix of every word read forwards and backwards.
+    """side, s, m, pos, node, ch: the prefixes of every word read forwards and backwards that a word
+    at most a letter shorter, longer or as long can meet at or beyond its own middle.
 
-    s is the word as read, m its length, node the hash of its first pos letters, ch the next letter
-    ('' where the word ends).
+    s is the word as read, m its length, node the hash of its first pos letters, ch the code of the
+    next letter (0 where the word ends). Sides have different nodes.
     """
     schema = pa.schema([("side", pa.int32()), ("s", pa.string()), ("m", pa.int32()),
-                        ("pos", pa.int32()), ("node", pa.binary()), ("ch", pa.string())])
+                        ("pos", pa.int32()), ("node", pa.binary()), ("ch", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for word in b.column("word").to_pylist():
+                m = len(word)
                 for side, s in enumerate((word, word[::-1])):
-                    state = xxhash.xxh3_128(seed=side)
-                    for pos, ch in enumerate([*s, ""]):
-                        out.append((side, s, len(s), pos, state.digest(), ch))
-                        state.update(ch.encode())
+                    start = m // 2 if side else (m - 1) // 2  # the middle of m - 1 letters
+                    # the side is part of what is hashed: seeds would let short prefixes collide
+                    state = xxhash.xxh3_128((SIDES[side] + s[:start]).encode())
+                    for pos in range(start, m):
+                        out.append((side, s, m, pos, state.digest(), ord(s[pos])))
+                        state.update(s[pos].encode())
                         if len(out) >= 10_000:
                             yield batch(dict(zip(schema.names, zip(*out))), schema)
                             out = []
+                    out.append((side, s, m, m, state.digest(), 0))
             if out:
                 yield batch(dict(zip(schema.names, zip(*out))), schema)
 
     return words.select("word").mapInArrow(
-        cut, "side int, s string, m int, pos int, node binary, ch string")
+        cut, "side int, s string, m int, pos int, node binary, ch int")
 
 
-def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, ends, path): both edge tables, the nodes where words end, and every word's nodes."""
+def tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, path): the edge tables of both tries, and every word's nodes."""
     rows = stored(prefixes(words))
-    ways = rows.groupBy("side", "node", "ch").agg(F.count(L(1)).alias("n"))
-    nodes = ways.groupBy("side", "node").agg(
-        F.count(L(1)).alias("ways"), F.max(C("ch") == "").alias("ends")) \
-        .where("ways > 1 or ends").select("side", "node")
-    path = stored(rows.join(nodes, ["side", "node"]).select("side", "s", "m", "pos", "node", "ch"))
-    # the next node of a path: both ends of an edge meet by word and position in the path
-    steps = path.groupBy("side", "s").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("at"))
-    pairs = steps.select("side", "s", F.inline(F.arrays_zip(
-        F.slice("at", 1, F.size("at") - 1).alias("a"), F.slice("at", 2, F.size("at")).alias("b")))) \
-        .where(C("a").isNotNull() & C("b").isNotNull())
-    edges = stored(pairs.groupBy("side", C("a.node").alias("node"),
-                                 F.substr("s", C("a.pos") + 1, L(1)).alias("ch")).agg(
-        F.min(F.substr("s", C("a.pos") + 1, C("b.pos") - C("a.pos"))).alias("label"),
-        F.min("b.node").alias("child")))
-    ends = path.where("ch = ''").select("side", C("node").alias("end"), C("s").alias("other"))
-    return edges, ends, path
+    nodes = rows.groupBy("node").agg(F.min("ch").alias("least"), F.max("ch").alias("most")) \
+        .where("least <> most or least = 0").select("node")
+    path = stored(rows.join(nodes, "node").select("side", "s", "m", "pos", "node"))
+    # the next node of a path; all words with this node and letter have the same one
+    along = Window.partitionBy("side", "s").orderBy("pos")
+    edges = path.select("node", "s", "pos", F.lead("pos").over(along).alias("to"),
+                        F.lead("node").over(along).alias("child")).where(C("to").isNotNull()) \
+        .select("node", F.substr("s", C("pos") + 1, C("to") - C("pos")).alias("label"), "child") \
+        .distinct()
+    return stored(edges.withColumn("way", F.substr("label", L(1), L(1)))
+                  .withColumn("k", F.char_length("label"))), path
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """word, near: all ordered pairs of words one inserted, deleted or replaced letter apart."""
-    edges, ends, path = tries(words)
-    edges = edges.withColumn("k", F.char_length("label"))
-    ends = stored(ends)
+    edges, path = tries(words)
     middle = F.when(C("side") == 0, F.floor(C("m") / 2)).otherwise(C("m") - F.floor(C("m") / 2))
-    state = ["side", "s", "m", "pos", "node", "edits"]
-    frontier = stored(path.where(C("pos") >= middle).groupBy("side", "s", "m").agg(
-        F.min(F.struct("pos", "node")).alias("at"))
-        .select("side", "s", "m", "at.*", L(0).alias("edits")))
-    found = None
-    while not frontier.isEmpty():
-        here = frontier.withColumn("next", F.substr("s", C("pos") + 1, L(1)))
-        on = here.join(edges.withColumnRenamed("ch", "next"), ["side", "node", "next"]) \
-            .where(C("label") == F.substr("s", C("pos") + 1, C("k"))) \
-            .select("side", "s", "m", (C("pos") + C("k")).alias("pos"), C("child").alias("node"),
-                    "edits")
-        fresh = here.where("edits = 0")
-        left_out = fresh.where("pos < m").select(
-            "side", "s", "m", (C("pos") + 1).alias("pos"), "node", L(1).alias("edits"))
-        # letters of the label after its first must be the word's next ones: after the replaced
-        # letter (skip = 1) or at once (skip = 0)
-        tail = F.substr("label", L(2), C("k"))
-        other = fresh.join(edges, ["side", "node"]).where(C("ch") != C("next")) \
-            .withColumn("skip", F.explode(F.array(L(0), L(1)))) \
-            .where((C("pos") + C("skip") + C("k") - 1 <= C("m"))
-                   & (tail == F.substr("s", C("pos") + 1 + C("skip"), C("k") - 1))) \
-            .select("side", "s", "m", (C("pos") + C("skip") + C("k") - 1).cast("int").alias("pos"),
-                    C("child").alias("node"), L(1).alias("edits"))
-        level = stored(on.unionByName(left_out).unionByName(other).select(*state))
-        ended = level.where("edits = 1 and pos = m").join(
-            ends, (C("end") == C("node")) & (ends["side"] == level["side"])) \
-            .select(level["side"], "s", "other")
-        found = ended if found is None else found.unionByName(ended)
-        frontier = level.where("pos < m or edits = 0")
-    if found is None:
-        return words.select("word", C("word").alias("near")).limit(0)
+    fresh = path.where(C("pos") >= middle)
+    # the edge's letter is inserted (skip = 0), replaces the word's next one (1) or follows the one
+    # left out (2); letters of the label after its first must be the word's next ones
+    tail = F.substr("label", L(2), C("k"))
+    level = stored(fresh.join(edges, "node").withColumn(
+        "skip", F.explode(F.array(L(0), L(1), L(2)))).where(
+        (C("pos") + C("skip") + C("k") - 1 <= C("m"))
+        & F.when(C("skip") == 2, C("way") == F.substr("s", C("pos") + 2, L(1)))
+        .otherwise(C("way") != F.substr("s", C("pos") + 1, L(1)))
+        & (tail == F.substr("s", C("pos") + 1 + C("skip"), C("k") - 1))).select(
+        "side", "s", "m", (C("pos") + C("skip") + C("k") - 1).cast("int").alias("pos"),
+        C("child").alias("node")))
+    # the last letter left out ends at the node itself
+    ended = fresh.where(C("pos") == C("m") - 1).select("side", "s", "node")
+    while True:
+        ended = ended.unionByName(level.where("pos = m").select("side", "s", "node"))
+        frontier = level.where("pos < m")
+        if frontier.isEmpty():
+            break
+        level = stored(frontier.withColumn("way", F.substr("s", C("pos") + 1, L(1)))
+                       .join(edges, ["node", "way"])
+                       .where(C("label") == F.substr("s", C("pos") + 1, C("k")))
+                       .select("side", "s", "m", (C("pos") + C("k")).alias("pos"),
+                               C("child").alias("node")))
+    ends = path.where("pos = m").select("node", C("s").alias("other"))
     back = [F.when(C("side") == 0, C(c)).otherwise(F.reverse(c)) for c in ("s", "other")]
-    return found.select(back[0].alias("word"), back[1].alias("near")).distinct()
+    return ended.join(ends, "node").select(back[0].alias("word"), back[1].alias("near")).distinct()
 
 
 def roots(links: DataFrame) -> DataFrame:

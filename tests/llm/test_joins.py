@@ -144,6 +144,21 @@ def test_spelling_variants_equal_all_pairs(spark):
     assert any(r.form for r in found) and any(r.root not in (r.word, r.form) for r in found)
 
 
+def test_tries_hold_only_prefixes_that_a_neighbour_can_meet(spark):
+    """From the middle of a word a letter shorter, and short prefixes of both sides stay apart."""
+    pool = ["streth", "theres", "sereht", "rerest", "nteres", "nierer", "streets", "cr\u00e9mes"]
+    words = spark.createDataFrame([(w,) for w in pool], "word string")
+    rows = variants.prefixes(words).collect()
+    assert len(rows) == sum(2 * len(w) + 2 - (len(w) - 1) // 2 - len(w) // 2 for w in pool)
+    meant = {}
+    for r in rows:
+        meant.setdefault(bytes(r.node), set()).add((r.side, r.s[:r.pos]))
+    assert all(len(m) == 1 for m in meant.values())
+    assert variants.neighbours(words).collect() == []
+    assert dict(variants.runs(1, "Caf\u00c9s CAFES caf\u00c9s abcd caf\u00e9s".encode())) == {
+        "caf\u00c9s".encode(): 2, b"cafes": 1, "caf\u00e9s".encode(): 1}
+
+
 def test_spelling_variants_of_no_rows(spark):
     assert variants.spelling_variants(spark.createDataFrame([], DOCS)).collect() == []
 
