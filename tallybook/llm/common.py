@@ -36,7 +36,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once to the cluster's shared folder and read back."""
-    return cut_lineage(df)
+    return cut_lineage(df, packed=False)
 
 
 def fold(bucket: Column, divisor: int) -> Column:
